@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -35,9 +36,19 @@ def per_batch(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], sche
 
 
 def cut(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and go on from there, so that lost executors cost no more than one stage."""
-    folder(spark)
-    return df.checkpoint(eager=True)
+    """Write df as a table in the shared checkpoint folder and go on from there, so that a lost executor costs no more than one stage."""
+    where = f"{folder(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(where)
+    return spark.read.schema(df.schema).parquet(where)
+
+
+def forget(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete tables that cut() wrote and nothing reads any more."""
+    jvm = spark.sparkContext._jvm
+    for df in tables:
+        for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(f)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def folder(spark: SparkSession) -> str:
@@ -53,4 +64,4 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-__all__ = ["BATCH_BYTES", "F", "StorageLevel", "cut", "documents", "folder", "per_batch", "slices", "texts"]
+__all__ = ["BATCH_BYTES", "F", "StorageLevel", "cut", "documents", "forget", "folder", "per_batch", "slices", "texts"]

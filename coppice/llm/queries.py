@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, packing, pii, quality, token_counts, tokens
+from . import licenses, packing, pii, quality, suffixes, token_counts, tokens
 from .arrow import documents
 
 
@@ -19,6 +19,10 @@ def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.digests(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.report(spark, documents(spark, sf_dir), length=400)
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(spark, documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
 
@@ -36,4 +40,4 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op3_bpe_round_trip, op5_token_counts, op8_best_fit_packing, op9_license_scan, op10_pii)}
+    return {f.__name__: f for f in (op1_quality_rules, op3_bpe_round_trip, op4_suffix_dedup, op5_token_counts, op8_best_fit_packing, op9_license_scan, op10_pii)}
