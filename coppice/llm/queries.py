@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, packing, pii, quality, suffixes, token_counts, tokens
+from . import licenses, minhash, packing, pii, quality, suffixes, token_counts, tokens
 from .arrow import documents
 
 
@@ -27,6 +27,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(spark, documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
 
 
+def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.duplicates(spark, documents(spark, sf_dir), k=4, percent=80)
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), cap=1024, end=2)
 
@@ -40,4 +44,4 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op3_bpe_round_trip, op4_suffix_dedup, op5_token_counts, op8_best_fit_packing, op9_license_scan, op10_pii)}
+    return {f.__name__: f for f in (op1_quality_rules, op3_bpe_round_trip, op4_suffix_dedup, op5_token_counts, op6_minhash_dedup, op8_best_fit_packing, op9_license_scan, op10_pii)}
