@@ -147,10 +147,10 @@ def report(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataF
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with every span replaced by its kind in brackets; where spans overlap the first one's mark stands for all."""
-    df = spans(docs, text)
+    """docs with every span replaced by its kind in brackets; where spans overlap the first one's mark stands for all. A null text stays null; other columns stay, whatever their names."""
+    df = spans(docs.select(F.struct("*").alias("_row"), F.col(text).cast("string").alias("_text")), "_text")
     names = F.array(*[F.lit(f"[{k.name.upper()}]") for k in KINDS])
-    t = F.col(text)
+    t = F.col("_text")
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
 
     def step(a: Column, x: Column) -> Column:
@@ -159,4 +159,5 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
         return F.struct(F.greatest(a["at"], x["end"]).alias("at"), F.when(inside, a["parts"]).otherwise(F.concat(a["parts"], new)).alias("parts"))
 
     cleaned = F.aggregate("spans", start, step, lambda a: F.concat(F.array_join(a["parts"], ""), F.substring(t, a["at"] + 1, F.length(t))))
-    return df.withColumn(text, F.when(F.size("spans") > 0, cleaned).otherwise(t)).drop("spans")
+    new = F.when(F.size("spans") > 0, cleaned).otherwise(t)
+    return df.select(*[new.alias(c) if c == text else F.col("_row")[c].alias(c) for c in docs.columns])

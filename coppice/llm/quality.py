@@ -105,3 +105,10 @@ def rules(docs: DataFrame, policy: str = "v2", id_col: str = "doc_id", text: str
     """One row a document with its measurements, base_failed, kept and the bits of its failed rules."""
     entries = ledger(docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")))
     return entries.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (F.col("failed").bitwiseAND(F.lit(mask(BASE))) != 0).alias("base_failed"), passes(policy).alias("kept"), "failed")
+
+
+def keep(docs: DataFrame, policy: str = "v2", text: str = "text") -> DataFrame:
+    """The rows of docs that a policy keeps, with their own columns, whatever their names."""
+    rows = docs.select(F.struct("*").alias("_row"), F.col(text).alias("_text"))
+    # A filter would be moved below the measurements and hold a copy of each; an expanded list of one row or none isn't.
+    return ledger(rows, "_text").select(F.explode(F.when(passes(policy), F.array("_row"))).alias("_row")).select("_row.*")

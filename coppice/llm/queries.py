@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, minhash, packing, pii, quality, suffixes, token_counts, tokens
+from . import chat, licenses, minhash, packing, pii, quality, suffixes, token_counts, tokens, topk
 from .arrow import documents
 
 
@@ -15,6 +15,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rules(documents(spark, sf_dir))
 
 
+def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(spark, spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id % 50 = 0", k=5, scale=256)
+
+
 def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.digests(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -31,6 +35,10 @@ def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.duplicates(spark, documents(spark, sf_dir), k=4, percent=80)
 
 
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.report(spark, spark.read.parquet(f"{sf_dir}/conversations.parquet"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), cap=1024, end=2)
 
@@ -44,4 +52,4 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op3_bpe_round_trip, op4_suffix_dedup, op5_token_counts, op6_minhash_dedup, op8_best_fit_packing, op9_license_scan, op10_pii)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_exact_topk, op3_bpe_round_trip, op4_suffix_dedup, op5_token_counts, op6_minhash_dedup, op7_chat_format, op8_best_fit_packing, op9_license_scan, op10_pii)}
