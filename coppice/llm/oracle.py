@@ -15,7 +15,7 @@ m AS (
   FROM w LEFT JOIN covered USING (doc_id)),
 f AS (
   SELECT *, CAST(1 * CAST(n_words < 10 AS INT) + 2 * CAST(100 * n_repeat_words > 20 * n_words AS INT) + 4 * CAST(5 * n_symbols > n_words AND n_words > 0 AS INT)
-    + 8 * CAST(10 * n_dup_lines > 3 * n_lines AS INT) + 16 * CAST(word_chars > 25 * n_words AND n_words > 0 AS INT) + 32 * CAST(2 * word_chars < 3 * n_words AND n_words > 0 AS INT) AS BIGINT) AS failed
+    + 8 * CAST(10 * n_dup_lines > 3 * n_lines AND n_dup_lines > 2 AS INT) + 16 * CAST(word_chars > 25 * n_words AND n_words > 0 AS INT) + 32 * CAST(2 * word_chars < 3 * n_words AND n_words > 0 AS INT) AS BIGINT) AS failed
   FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed & 3) <> 0 AS base_failed, failed = 0 AS kept, failed FROM f
 """

@@ -20,7 +20,7 @@ RULES = {
     "few_words": "n_words < 10",
     "repeated_words": "100 * n_repeat_words > 20 * n_words",
     "symbols": "5 * n_symbols > n_words and n_words > 0",
-    "duplicate_lines": "10 * n_dup_lines > 3 * n_lines",
+    "duplicate_lines": "10 * n_dup_lines > 3 * n_lines and n_dup_lines > 2",
     "long_words": "word_chars > 25 * n_words and n_words > 0",
     "short_words": "2 * word_chars < 3 * n_words and n_words > 0",
 }
