@@ -6,39 +6,42 @@
    (1 - t**rows)**bands, about 5e-8 at 0.8.
 3. Signatures of candidates are compared batch by batch. After each, a pair is
    dropped once the posterior probability (uniform prior) that its similarity
-   reaches the threshold is below MISS.
+   reaches the threshold is below MISS. So is a pair whose sets' sizes exclude it.
 4. What survives is verified exactly on the full sets of shingles.
 
 All pairs of a bucket are never listed. First each class is tried with the one
-leader (least id of a bucket) that it shares most bands with: at most one pair
-a class. Buckets whose classes are one component by then are done. In the others
-only pairs across components are compared, in blocks of bounded size, by
-signature within a task; per class and component the best survivors are verified,
-and the rest only if those fail, until nothing is left.
+leader that it shares most bands with: at most one pair a class. Buckets whose
+classes are one component by then are done. In the others only pairs across
+components are compared, in blocks of bounded size, by signature within a task;
+of each class the best survivors are verified, and more of them only if they are
+still in other components, until nothing is left.
 """
 
 from __future__ import annotations
 
 from collections import OrderedDict
 from collections.abc import Iterator
+from functools import cache
 from hashlib import sha256
 from math import comb
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .arrow import cut, forget, slices
 from .components import components
 
 HASHES, ROWS = 128, 4
-BATCH, MISS = 32, 1e-9
+BATCH, MISS = 32, 1e-6
+#: Further hashes, of which a byte each is kept, for classes in buckets that the first round leaves mixed.
+MORE = 384
 SIDE = 512
 _draw = np.random.default_rng(20240229)
-_XOR = _draw.integers(0, 1 << 32, HASHES, dtype=np.uint32)
-_MUL = _draw.integers(0, 1 << 32, HASHES, dtype=np.uint32) | np.uint32(1)
+_XOR = _draw.integers(0, 1 << 32, HASHES + MORE, dtype=np.uint32)
+_MUL = _draw.integers(0, 1 << 32, HASHES + MORE, dtype=np.uint32) | np.uint32(1)
 _FOLD = _draw.integers(0, 1 << 63, ROWS, dtype=np.uint64) | np.uint64(1)
 
 
@@ -68,11 +71,11 @@ def shingles(text: str | None, k: int) -> np.ndarray:
     return np.unique(out)
 
 
-def signature(s: np.ndarray) -> np.ndarray:
-    low = np.full(HASHES, 0xFFFFFFFF, np.uint32)
+def signature(s: np.ndarray, first: int = 0, end: int = HASHES) -> np.ndarray:
+    low = np.full(end - first, 0xFFFFFFFF, np.uint32)
     x = (s ^ (s >> np.uint64(32))).astype(np.uint32)
     for k in range(0, len(x), 1024):
-        y = (x[k : k + 1024, None] ^ _XOR) * _MUL
+        y = (x[k : k + 1024, None] ^ _XOR[first:end]) * _MUL[first:end]
         y ^= y >> np.uint32(15)
         np.minimum(low, y.min(axis=0), out=low)
     return low
@@ -88,6 +91,7 @@ def bands(sig: np.ndarray) -> np.ndarray:
     return h.astype(np.int64)
 
 
+@cache
 def least_matches(n: int, t: float, miss: float = MISS) -> int:
     """Fewest matches of n with which P(similarity >= t) is still `miss` or more. That probability is P(Binomial(n + 1, t) <= matches)."""
     total = 0.0
@@ -108,6 +112,33 @@ def surviving(a: np.ndarray, b: np.ndarray, t: float) -> tuple[np.ndarray, np.nd
     return left, got[left]
 
 
+def lengthened(texts: DataFrame, k: int) -> DataFrame:
+    """id, tail: the low bytes of MORE further minima of each text; null for an id with several texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                tails = [signature(shingles(t, k), HASHES, HASHES + MORE).astype(np.uint8).tobytes() for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(tails, pa.binary())], ["id", "tail"])
+
+    made = texts.select("id", "text").mapInArrow(run, "id long, tail binary")
+    return made.groupBy("id").agg(F.when(F.count("*") == 1, F.first("tail")).alias("tail"))
+
+
+def outlasting(one: bytes | None, others: list[bytes | None], got: np.ndarray, t: float) -> np.ndarray:
+    """Of candidates with `got` matches so far, those that the tails don't rule out either (equal bytes are at least as likely as equal minima)."""
+    if one is None or not others:
+        return np.arange(len(others))
+    known = np.array([x is not None for x in others])
+    mine = np.frombuffer(one, np.uint8)
+    theirs = np.frombuffer(b"".join(x or bytes(MORE) for x in others), np.uint8).reshape(-1, MORE)
+    left, got = np.arange(len(others)), got.copy()
+    for k in range(0, MORE, HASHES):
+        got[left] += (theirs[left, k : k + HASHES] == mine[k : k + HASHES]).sum(axis=1)
+        left = left[(got[left] >= least_matches(HASHES + k + HASHES, t)) | ~known[left]]
+    return left
+
+
 def sketch(docs: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -176,54 +207,53 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
 
 
 def across(buckets: DataFrame, t: float, best: int) -> DataFrame:
-    """Candidates across components in blocks: rows (band, block, part, minor, id, root, sig), dealt and sorted by the first four.
+    """Candidates across components in blocks: rows (band, block, part, minor, id, root, n, sig, tail, both), dealt and sorted by the first four.
 
-    Returns u, v, ru, rv (their roots) and more: whether candidates of u in that component were left out.
+    Returns u, v, got (matches) of the `best` candidates of u in each block, and more: whether others of u were left out there.
+    A pair is looked at in the first band that it shares only, and once if both of its ends are asked there (both).
     """
 
-    def pairs_of(minor: list, other: list) -> list[tuple]:
-        a = np.frombuffer(b"".join(x[2] for x in minor), np.uint32).reshape(-1, HASHES)
-        b = np.frombuffer(b"".join(x[2] for x in other), np.uint32).reshape(-1, HASHES)
-        ids, roots = np.array([x[0] for x in other]), np.array([x[1] for x in other])
+    def pairs_of(band: int, minor: list, other: list) -> list[tuple]:
+        a = np.frombuffer(b"".join(x[3] for x in minor), np.uint32).reshape(-1, HASHES)
+        b = np.frombuffer(b"".join(x[3] for x in other), np.uint32).reshape(-1, HASHES)
+        ids, roots, sizes, both = (np.array([x[c] for x in other]) for c in (0, 1, 2, 5))
+        j = int(np.flatnonzero(bands(a[:1])[0] == band)[0])
         out = []
-        for k, (u, ru, _) in enumerate(minor):
-            at = np.flatnonzero(roots != ru)
+        for k, (u, ru, n, _, tail, _) in enumerate(minor):
+            at = np.flatnonzero((roots != ru) & (~both | (ids < u)) & (np.minimum(sizes, n) >= t * np.maximum(sizes, n) - 1e-6))
+            if j and len(at):
+                before = (b[at, : j * ROWS] == a[k, : j * ROWS]).reshape(len(at), j, ROWS)
+                at = at[~before.all(axis=2).any(axis=1)]
             keep, got = surviving(np.broadcast_to(a[k], (len(at), HASHES)), b[at], t)
-            at = at[keep]
-            order = np.lexsort((ids[at], -got))
-            seen: dict[int, int] = {}
-            for x in at[order].tolist():
-                rv = int(roots[x])
-                n = seen[rv] = seen.get(rv, 0) + 1
-                if n <= best:
-                    out.append((u, int(ids[x]), ru, rv, False))
-                elif n == best + 1:
-                    out.append((u, int(ids[x]), ru, rv, True))
+            keep = keep[last := outlasting(tail, [other[x][4] for x in at[keep]], got, t)]
+            at, got = at[keep], got[last]
+            order = np.lexsort((ids[at], -got))[:best]
+            out += [(u, int(ids[at[x]]), int(got[x]), len(at) > best) for x in order.tolist()]
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, minor, other = None, [], []
 
         def made(rows: list[tuple]) -> pa.RecordBatch:
-            cols = list(zip(*rows, strict=True)) or [[]] * 5
-            return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.bool_())], ["u", "v", "ru", "rv", "more"])
+            cols = list(zip(*rows, strict=True)) or [[]] * 4
+            return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.bool_())], ["u", "v", "got", "more"])
 
         for batch in batches:
             for part in slices(batch, 2048):
                 rows: list[tuple] = []
-                for band, block, piece, is_minor, i, root, sig in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                for band, block, piece, is_minor, i, root, n, sig, tail, both in zip(*(c.to_pylist() for c in part.columns), strict=True):
                     if (band, block, piece) != now:
                         if minor and other:
-                            rows += pairs_of(minor, other)
+                            rows += pairs_of(now[0], minor, other)
                         now, minor, other = (band, block, piece), [], []
-                    (minor if is_minor else other).append((i, root, sig))
+                    (minor if is_minor else other).append((i, root, n, sig, tail, both))
                 if rows:
                     yield made(rows)
         if minor and other:
-            yield made(pairs_of(minor, other))
+            yield made(pairs_of(now[0], minor, other))
 
-    dealt = buckets.select("band", "block", "part", "minor", "id", "root", "sig").repartition("band", "block", "part").sortWithinPartitions("band", "block", "part", F.desc("minor"))
-    return dealt.mapInArrow(run, "u long, v long, ru long, rv long, more boolean")
+    dealt = buckets.select("band", "block", "part", "minor", "id", "root", "n", "sig", "tail", "both").repartition("band", "block", "part").sortWithinPartitions("band", "block", "part", F.desc("minor"))
+    return dealt.mapInArrow(run, "u long, v long, got long, more boolean")
 
 
 def duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -236,7 +266,7 @@ def duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int =
     t = percent / 100
     rows = cut(spark, sketch(docs, k))
     named = rows.where("doc_id is not null and n_shingles > 0")
-    classes = cut(spark, named.groupBy("key").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig")))
+    classes = cut(spark, named.groupBy("key").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n")))
     least = classes.select("key", "id")
     # An id with several texts joins their classes.
     member = named.select("doc_id", "key").join(least, "key").select("doc_id", "id")
@@ -245,8 +275,13 @@ def duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int =
     if not links.isEmpty():
         links = member.join(several.select("doc_id", "u"), "doc_id").select("u", F.col("id").alias("v"))
     band = banded(classes)
-    shared = band.groupBy("band").agg(F.min("id").alias("lead"), F.max("id").alias("top")).where("lead < top").select("band", "lead")
-    buckets = cut(spark, band.join(shared, "band").select("band", "lead", "id").distinct())
+    shared = band.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    sized = cut(spark, band.join(shared, "band"))
+    # A bucket's leader is the class whose buckets are largest together: of a text and its variants, the text that they vary.
+    weight = sized.groupBy("id").agg(F.sum("n").alias("weight"))
+    leads = sized.select("band", "id").join(weight, "id").groupBy("band").agg(F.max_by("id", F.struct("weight", -F.col("id"))).alias("lead"))
+    buckets = cut(spark, sized.select("band", "id").join(leads, "band"))
+    forget(spark, sized)
     asked = buckets.select("id").distinct()
     # The texts and signatures that may be compared.
     texts = cut(spark, docs.where("doc_id is not null").withColumnRenamed("doc_id", "id").join(asked.hint("shuffle_hash"), "id").distinct())
@@ -255,32 +290,36 @@ def duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int =
     first = one.select(F.col("lead").alias("u"), F.col("id").alias("v"))
     first = first.join(sigs.toDF("u", "sig_u"), "u").join(sigs.toDF("v", "sig_v"), "v")
     links = cut(spark, links.unionByName(verified(_similar(first, t), texts, k, percent)))
-    best = 8
+    best, tried, long = 8, first.select("u", "v"), None
+    roots = components(spark, links)
     while True:
-        roots = components(spark, links)
         here = buckets.select("band", "id").join(roots, "id", "left").select("band", "id", F.coalesce("root", "id").alias("root"))
         parts = here.groupBy("band", "root").agg(F.count("*").alias("n"))
         mixed = parts.groupBy("band").agg(F.sum("n").alias("n"), F.count("*").alias("roots"), F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("most")).where("roots > 1")
         sides = here.join(mixed, "band").withColumn("blocks", F.ceil(F.col("n") / SIDE).cast("int")).withColumn("pieces", F.ceil((F.col("n") - F.col("most")) / SIDE).cast("int"))
         spread = lambda n: F.pmod(F.xxhash64("id", F.lit(7)), F.col(n)).cast("int")
         every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-        minors = sides.where("root <> main").select("band", every("blocks").alias("block"), spread("pieces").alias("part"), F.lit(True).alias("minor"), "id", "root")
-        others = sides.select("band", spread("blocks").alias("block"), every("pieces").alias("part"), F.lit(False).alias("minor"), "id", "root")
-        found = cut(spark, across(minors.unionByName(others).join(sigs, "id"), t, best).distinct())
-        new = verified(found.where("not more"), texts, k, percent)
-        links, before = cut(spark, links.unionByName(new).distinct()), links
-        roots = components(spark, links)
-        # Left out were candidates between components that may still be apart.
-        left = found.where("more").select("ru", "rv").distinct()
-        again = False
-        if not left.isEmpty():
-            now = lambda c: roots.select(F.col("id").alias(c), F.col("root").alias(f"now_{c}"))  # noqa: B023, E731
-            apart = left.join(now("ru"), "ru", "left").join(now("rv"), "rv", "left").where("coalesce(now_ru, ru) <> coalesce(now_rv, rv)")
-            again = not apart.isEmpty()
-        forget(spark, found, before)
+        minors = sides.where("root <> main").select("band", every("blocks").alias("block"), spread("pieces").alias("part"), F.lit(True).alias("minor"), "id", "root", F.lit(True).alias("both"))
+        others = sides.select("band", spread("blocks").alias("block"), every("pieces").alias("part"), F.lit(False).alias("minor"), "id", "root", (F.col("root") != F.col("main")).alias("both"))
+        if long is None:
+            long = cut(spark, lengthened(texts.join(sides.select("id").distinct().hint("shuffle_hash"), "id"), k).join(classes.select("id", "sig", "n"), "id"))
+        found = across(minors.unionByName(others).join(long, "id"), t, best).groupBy("u", "v").agg(F.max("got").alias("got"), F.max("more").alias("more"))
+        found = cut(spark, found.withColumn("at", F.row_number().over(Window.partitionBy("u").orderBy(F.desc("got"), "v"))))
+        if found.isEmpty():
+            break
+        asked_now = found.where(F.col("at") <= best).select("u", "v").join(tried, ["u", "v"], "left_anti")
+        new = cut(spark, verified(asked_now, texts, k, percent))
+        if not new.isEmpty():
+            links, before = cut(spark, links.unionByName(new).distinct()), links
+            roots = components(spark, links)
+            forget(spark, before)
+        # What was left out is looked at again, if it is still in another component.
+        again = not found.where(F.col("more") | (F.col("at") > best)).isEmpty()
+        tried = cut(spark, found.where(F.col("at") <= best).select("u", "v").unionByName(tried).distinct()) if again else tried
+        forget(spark, found, new)
         if not again:
             break
-        best *= 8
+        best *= 512
     smallest = roots.join(roots.groupBy("root").agg(F.min("id").alias("component_id")), "root").select("id", "component_id")
     of = least.join(smallest, "id", "left").select("key", F.coalesce("component_id", "id").alias("component_id"))
     out = rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("key")).alias("key")).join(of, "key", "left")
