@@ -150,14 +150,16 @@ class ByteBPE:
                 known[p] = array("I", self.library.encode(p, add_special_tokens=False).ids).tobytes()
             elif p[1:].isalpha() and (p[0] == " " or p[0].isalpha()):
                 single.append(p)
+            elif p[-1] in ".,;:!?" and p[1:-1].isalpha() and (p[0] == " " or p[0].isalpha()):
+                several.append((p, (p[:-1], p[-1])))  # as the pattern splits it
             else:
                 several.append((p, self._words(p)))
-        fresh = list(dict.fromkeys([*single, *(w for _, ws in several for w in ws)]))
+        fresh = [w for w in dict.fromkeys([*single, *(w for _, ws in several for w in ws)]) if w not in known]
         got = dict(zip(fresh, self.words([w.encode() for w in fresh]), strict=True))
         for p in single:
             known[p] = got[p]
         for p, ws in several:
-            known[p] = b"".join([got[w] for w in ws])
+            known[p] = b"".join([got[w] if w in got else known[w] for w in ws])
 
     @staticmethod
     def pieces(text: str) -> list[str]:
