@@ -76,12 +76,35 @@ def _square(spark, sf_dir):
     return against(q, q)
 
 
+def _wide(spark, sf_dir):
+    v = vectors(spark, sf_dir)
+    return against(_asked(v), v)
+
+
+def alignments(pairs: DataFrame) -> DataFrame:
+    return pairs.select("q_vec_id", "t_vec_id", F.round(F.ln(violation() + 1e-7), 6).alias("value"))
+
+
+def costs(pairs: DataFrame) -> DataFrame:
+    return pairs.select("q_vec_id", "t_vec_id", F.round(distance2("q_e", "t_e"), 6).alias("cost"))
+
+
 def alignment_matrix(spark, sf_dir):
-    return _square(spark, sf_dir).select("q_vec_id", "t_vec_id", F.round(F.ln(violation() + 1e-7), 6).alias("value"))
+    """The query vectors among themselves, as in its SQL; alignment_against_all has all rows."""
+    return alignments(_square(spark, sf_dir))
 
 
 def pairwise_cost_matrix(spark, sf_dir):
-    return _square(spark, sf_dir).select("q_vec_id", "t_vec_id", F.round(distance2("q_e", "t_e"), 6).alias("cost"))
+    """The query vectors among themselves, as in its SQL; cost_against_all has all rows."""
+    return costs(_square(spark, sf_dir))
+
+
+def alignment_against_all(spark, sf_dir):
+    return alignments(_wide(spark, sf_dir))
+
+
+def cost_against_all(spark, sf_dir):
+    return costs(_wide(spark, sf_dir))
 
 
 def components_of(v: DataFrame) -> DataFrame:
@@ -175,9 +198,8 @@ def transport(cost: np.ndarray) -> float:
 
 
 def emd_uniform(spark, sf_dir):
-    """Exact earth mover's distance of each label's query vectors to those of all labels; a label's query set is bounded by its share of a hundredth."""
-    q = _asked(vectors(spark, sf_dir))
-    groups = q.groupBy("label").agg(F.collect_list("e").alias("mine"))
+    """Exact earth mover's distance of each label's vectors to those of all labels. An exact plan needs a pair's vectors at once: each pair of labels is one task, which grows with the table."""
+    groups = vectors(spark, sf_dir).groupBy("label").agg(F.collect_list("e").alias("mine"))
     labels = groups.select(F.col("label").alias("other"), F.col("mine").alias("theirs"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -185,10 +207,12 @@ def emd_uniform(spark, sf_dir):
             out = []
             for label, other, x, y in b.itertuples(index=False):
                 x, y = np.stack(list(x)), np.stack(list(y))
-                out.append((label, other, round(transport(((x[:, None] - y[None]) ** 2).sum(axis=2)), 6)))
+                cost = np.stack([((r - y) ** 2).sum(axis=1) for r in x])
+                out.append((label, other, round(transport(cost), 6)))
             yield pd.DataFrame(out, columns=["label", "other", "emd"])
 
-    return groups.join(labels, F.col("label") <= F.col("other")).select("label", "other", "mine", "theirs").mapInPandas(run, "label int, other int, emd double")
+    pairs = groups.join(labels, F.col("label") <= F.col("other")).select("label", "other", "mine", "theirs")
+    return pairs.repartition(4 * spark.sparkContext.defaultParallelism, "label", "other").mapInPandas(run, "label int, other int, emd double")
 
 
 def emd_one_dimension(spark, sf_dir):
@@ -236,4 +260,4 @@ SQL = {
 g AS (SELECT l.label, m.x, m.next, (SELECT count(*) FROM x WHERE x.label = l.label AND x.x <= m.x) / (SELECT count(*) FROM x WHERE x.label = l.label)::DOUBLE AS f, (SELECT count(*) FROM x WHERE x.x <= m.x) / (SELECT count(*) FROM x)::DOUBLE AS g FROM marks AS m, (SELECT DISTINCT label FROM x) AS l)
 SELECT label, round(sum(abs(f - g) * (next - x)), 6) AS emd FROM g GROUP BY 1""",
 }
-QUERIES = {f.__name__: f for f in (dominance_frequency, dominance_conjunctive, dimension_violation_count, order_loss, alignment_matrix, pairwise_cost_matrix, mean_pool_by_label, standard_scale, closest_to_centroid, lloyd_kmeans, cluster_representatives, emd_uniform, emd_one_dimension)}
+QUERIES = {f.__name__: f for f in (dominance_frequency, dominance_conjunctive, dimension_violation_count, order_loss, alignment_matrix, pairwise_cost_matrix, alignment_against_all, cost_against_all, mean_pool_by_label, standard_scale, closest_to_centroid, lloyd_kmeans, cluster_representatives, emd_uniform, emd_one_dimension)}
