@@ -22,7 +22,7 @@ BUCKETS = 64
 class Config:
     seed: str = "F"
     min_size: int = 3
-    max_size: int = 6
+    max_size: int = 30
     max_holes: int = 8
     max_init_beams: int = 200
     n_beams: int = 1
@@ -34,27 +34,34 @@ def bucket(token: Column) -> Column:
 
 
 def labelled(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """nodes with parent, its type, and holes (children)."""
-    up = edges.join(nodes.select("prog", F.col("node").alias("src"), F.col("type").alias("up")), ["prog", "src"]).select("prog", F.col("dst").alias("node"), F.col("src").alias("parent"), "up")
+    """nodes with parent and its parent (over), their labels, and holes (children)."""
+    up = edges.join(nodes.select("prog", F.col("node").alias("src"), F.col("type").alias("up"), F.col("span").alias("up_span")), ["prog", "src"]).select("prog", F.col("dst").alias("node"), F.col("src").alias("parent"), "up", "up_span")
+    # One row a node: order 0's node has the root's id.
+    over = up.groupBy("prog", F.col("node").alias("parent")).agg(F.min(F.struct("parent", "up")).alias("o")).select("prog", "parent", F.col("o.parent").alias("over"), F.col("o.up").alias("over_type"))
+    up = up.join(over, ["prog", "parent"], "left")
     kids = edges.groupBy("prog", F.col("src").alias("node")).agg(F.count("*").cast("int").alias("holes"), F.array_sort(F.collect_list("dst")).alias("kids"))
-    return nodes.join(up, ["prog", "node"], "left").join(kids, ["prog", "node"], "left").select("prog", "node", "type", "span", "parent", "up", F.coalesce("holes", F.lit(0)).alias("holes"), F.coalesce("kids", F.array().cast("array<long>")).alias("kids"))
+    return nodes.join(up, ["prog", "node"], "left").join(kids, ["prog", "node"], "left").select("prog", "node", "type", "span", "parent", "up", "up_span", "over", "over_type", F.coalesce("holes", F.lit(0)).alias("holes"), F.coalesce("kids", F.array().cast("array<long>")).alias("kids"))
 
 
-def encode(members: DataFrame, nodes: DataFrame, key: list[str]) -> DataFrame:
-    """key, phi: counts by bucket of node and edge tokens of each member set (prog, key.., node, all: its nodes)."""
+def encode(members: DataFrame, nodes: DataFrame, key: list[str], whole: bool = True) -> DataFrame:
+    """key, phi: counts by bucket of node, edge and 2-path tokens of each member set (prog, key.., node, all: its nodes); not whole: without edges with spans and 2-paths."""
     m = members.join(nodes, ["prog", "node"])
     inside = F.array_contains("all", F.col("parent"))
-    tokens = F.array(F.col("type"), F.concat_ws("|", "type", "span"), F.when(inside, F.concat_ws(">", "up", "type")))
+    tokens = [F.col("type"), F.concat_ws("|", "type", "span"), F.when(inside, F.concat_ws(">", "up", "type"))]
+    if whole:
+        tokens.append(F.when(inside, F.concat_ws(">", F.concat_ws("|", "up", "up_span"), F.concat_ws("|", "type", "span"))))
+        tokens.append(F.when(inside & F.array_contains("all", F.col("over")), F.concat_ws(">", "over_type", "up", "type")))
+    tokens = F.array(*tokens)
     counts = m.select(*key, F.explode(F.filter(tokens, lambda x: x.isNotNull())).alias("token")).groupBy(*key, bucket(F.col("token")).alias("b")).agg(F.count("*").alias("n"))
     at = F.map_from_entries(F.collect_list(F.struct("b", "n")))
     return counts.groupBy(*key).agg(at.alias("m")).select(*key, F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda b: F.coalesce(F.try_element_at("m", b), F.lit(0)).cast("int")).alias("phi"))
 
 
-def hoods(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def hoods(nodes: DataFrame, edges: DataFrame, whole: bool = True) -> DataFrame:
     """Encodings of all neighbourhoods: prog, anchor, phi."""
     near = neighbourhoods(edges, top_degree(edges)).select("prog", "anchor", "node")
     sets = near.groupBy("prog", "anchor").agg(F.collect_list("node").alias("all"))
-    return encode(sets.select("prog", "anchor", "all", F.explode("all").alias("node")), nodes, ["prog", "anchor"])
+    return encode(sets.select("prog", "anchor", "all", F.explode("all").alias("node")), nodes, ["prog", "anchor"], whole)
 
 
 def scored(candidates: DataFrame, corpus: DataFrame) -> DataFrame:
@@ -130,8 +137,9 @@ def grow_one_step(spark, sf_dir):
 
 
 def encode_neighbourhoods(spark, sf_dir):
+    """The three token families of its SQL; the search counts all five."""
     nodes, edges = forest(spark, sf_dir)
-    return hoods(labelled(nodes, edges), edges).select("prog", "anchor", F.concat_ws(",", F.transform("phi", lambda x: x.cast("string"))).alias("phi"))
+    return hoods(labelled(nodes, edges), edges, whole=False).select("prog", "anchor", F.concat_ws(",", F.transform("phi", lambda x: x.cast("string"))).alias("phi"))
 
 
 _PHI = f"""WITH {FOREST}, {_DEG}, {_HOP}, tok AS (
