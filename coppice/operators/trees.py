@@ -83,12 +83,21 @@ def roots_of(spark: SparkSession, edges: DataFrame) -> DataFrame:
         label = moved.select("id", F.col("new").alias("root"))
 
 
-def connected_components(spark, sf_dir):
-    l = table(spark, sf_dir, "lineitem").where("l_quantity >= 45 and l_returnflag = 'R'")  # noqa: E741
-    found = roots_of(spark, l.select((F.col("l_orderkey") * 2).alias("u"), (F.col("l_partkey") * 2 + 1).alias("v")))
+def components(lines: DataFrame) -> DataFrame:
+    """Components of orders (even ids) and parts (odd ids) linked by lines."""
+    found = roots_of(lines.sparkSession, lines.select((F.col("l_orderkey") * 2).alias("u"), (F.col("l_partkey") * 2 + 1).alias("v")))
     return found.select("id", "root")
 
 
+def connected_components(spark, sf_dir):
+    """Of returned lines at 45 or more, as in its SQL; connected_components_all has all lines."""
+    return components(table(spark, sf_dir, "lineitem").where("l_quantity >= 45 and l_returnflag = 'R'"))
+
+
+def connected_components_all(spark, sf_dir):
+    return components(table(spark, sf_dir, "lineitem"))
+
+
 def pagerank(edges: DataFrame, rounds: int = 5, alpha: float = 0.85) -> DataFrame:
     """Power iterations over a directed edge table (u, v); nodes without out-edges spread evenly."""
     nodes = edges.select(F.col("u").alias("id")).union(edges.select("v")).distinct()
@@ -116,9 +125,9 @@ def pagerank_fixed_iters(spark, sf_dir):
     return pagerank(_places(spark, sf_dir), 3).select("id", F.round("r", 9).alias("r"))
 
 
-def clustering_coefficient(spark, sf_dir):
-    """Of parts sold in one order at 40 or more: triangles over pairs of neighbours."""
-    b = table(spark, sf_dir, "lineitem").where("l_quantity >= 40").select("l_orderkey", "l_partkey").distinct()
+def clustering(lines: DataFrame) -> DataFrame:
+    """Of parts sold in one order: triangles over pairs of neighbours."""
+    b = lines.select("l_orderkey", "l_partkey").distinct()
     e = b.select("l_orderkey", F.col("l_partkey").alias("a")).join(b.select("l_orderkey", F.col("l_partkey").alias("b")), "l_orderkey").where("a < b").select("a", "b").distinct()
     both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
     degree = both.groupBy("a").agg(F.count("*").alias("d"))
@@ -126,6 +135,15 @@ def clustering_coefficient(spark, sf_dir):
     return degree.join(wedge.groupBy("a").agg(F.count("*").alias("t")), "a", "left").select(F.col("a").alias("part"), F.round(F.when(F.col("d") > 1, 2 * F.coalesce("t", F.lit(0)) / (F.col("d") * (F.col("d") - 1))).otherwise(0.0), 6).alias("c"))
 
 
+def clustering_coefficient(spark, sf_dir):
+    """Of lines at 40 or more, as in its SQL; clustering_coefficient_all has all lines."""
+    return clustering(table(spark, sf_dir, "lineitem").where("l_quantity >= 40"))
+
+
+def clustering_coefficient_all(spark, sf_dir):
+    return clustering(table(spark, sf_dir, "lineitem"))
+
+
 def wl_colours(nodes: DataFrame, edges: DataFrame, rounds: int) -> DataFrame:
     """prog, hash: colours are refined by those of the children; a tree's hash is that of its sorted colours. Labels aren't looked at."""
     colour = nodes.select("prog", "node", F.md5(F.when(F.col("node") == 0, "1").otherwise("0")).alias("c"))
@@ -186,4 +204,4 @@ SELECT a AS part, round(CASE WHEN d > 1 THEN 2 * coalesce(t, 0) / (d * (d - 1)):
     "multi_seed_match": f"{_F}, h AS (SELECT prog, span, min(node) AS node FROM nodes WHERE span IN ('F', 'AF', 'RF') GROUP BY ALL) SELECT prog, string_agg(CAST(node AS VARCHAR), ',' ORDER BY node) AS nodes FROM h GROUP BY 1 HAVING count(*) = 3",
     "sibling_ordinals": f"{_F} SELECT prog, dst AS node, CAST(row_number() OVER (PARTITION BY prog, src ORDER BY dst) - 1 AS INTEGER) AS relpos FROM edges",
 }
-QUERIES = {f.__name__: f for f in (tree_degree_topn, khop_neighbourhoods, induced_edges, radial_frontier, connected_components, pagerank_fixed_iters, clustering_coefficient, wl_hash, seed_pattern_match, multi_seed_match, sibling_ordinals)}
+QUERIES = {f.__name__: f for f in (tree_degree_topn, khop_neighbourhoods, induced_edges, radial_frontier, connected_components, connected_components_all, pagerank_fixed_iters, clustering_coefficient, clustering_coefficient_all, wl_hash, seed_pattern_match, multi_seed_match, sibling_ordinals)}
