@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import sast
@@ -15,6 +15,11 @@ from .trees import _DEG, _HOP, neighbourhoods, top_degree
 #: Snippets that show the rules of simplified trees.
 SNIPPETS = ["np.mean", "os.path.join", "train_test_split", "def f(x):\n    return np.dot(x, x) + 1", "x = '#'  # note\ny = f'{x}a'", "def g(:", "# only a comment", "é = np.max(à)\nnp.min(é)"]
 
+#: What ends the words of an entry point; numbers are those of Python's float().
+STOP_WORDS = ["in", "of", "a", "to", "and", "for", "with", "that"]
+NUMBER = r"^[+-]?(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:e[+-]?[0-9]+)?|inf|infinity|nan)$"
+SPACE = r"[\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+
 
 def idioms(spark, sf_dir) -> DataFrame:
     """A generation table from the forest's neighbourhoods: size, hash of the shape, score, holes."""
@@ -91,12 +96,33 @@ def fewshot_leave_one_out(spark, sf_dir):
 
 
 def prompt_render(spark, sf_dir):
-    """An entry point from an item's first words, and the prompt with it."""
+    """An entry point from an item's first words, and the prompt with its first 40 characters, as in its SQL; prompt_render_whole has the whole text."""
     word = F.transform(F.slice(F.split(F.lower(F.regexp_replace("text", "[^A-Za-z ]", "")), " +"), 1, 4), lambda x: x)
     name = F.concat(F.lit("f_"), F.array_join(word, "_"))
     return table(spark, sf_dir, "benchmark").select("item_id", name.alias("entry"), F.concat(F.lit("def "), name, F.lit("():\n    \"\"\""), F.substring("text", 1, 40), F.lit("\"\"\"\n")).alias("prompt"))
 
 
+def entry_point(text: Column) -> Column:
+    """A function name: the first four words, up to a number, a stop-word after the second or a delimiter, without punctuation."""
+    first = F.slice(F.filter(F.split(text, SPACE), lambda x: x != ""), 1, 4)
+    words = F.transform(first, F.lower)
+    number = F.transform(words, lambda x: F.regexp_replace(x, r"(?<=[0-9])_(?=[0-9])", "").rlike(NUMBER))
+    stop = F.transform(words, lambda x, k: x.isin(STOP_WORDS) & (k > 1))
+    quoted = F.transform(words, lambda x: x.startswith("`") | x.startswith("'"))
+    ends = F.zip_with(F.zip_with(number, stop, lambda a, b: a | b), quoted, lambda a, b: a | b)
+    end = F.array_position(ends, True).cast("int")
+    kept = F.slice(words, F.lit(1), F.when(end > 0, end - 1).otherwise(F.size(words)))
+    plain = F.filter(F.transform(kept, lambda x: F.regexp_replace(x, r"[!-/:-@\[-`{-~]", "")), lambda x: x != "")
+    named = F.when(F.size(plain) < 2, F.concat(F.array(F.lit("f")), plain)).otherwise(plain)
+    return F.regexp_replace(F.array_join(named, "_"), "^¿", "")
+
+
+def prompt_render_whole(spark, sf_dir):
+    """An entry point from an item's first words, and the prompt with the whole text."""
+    name = entry_point(F.coalesce("text", F.lit("")))
+    return table(spark, sf_dir, "benchmark").select("item_id", name.alias("entry"), F.concat(F.lit("def "), name, F.lit("():\n    \"\"\""), F.coalesce("text", F.lit("")), F.lit("\"\"\"\n")).alias("prompt"))
+
+
 def _snippets(spark) -> DataFrame:
     return spark.createDataFrame(list(enumerate(SNIPPETS)), "prog long, code string")
 
@@ -136,4 +162,4 @@ SQL = {
     "fewshot_leave_one_out": "SELECT a.item_id, (SELECT b.item_id FROM benchmark AS b WHERE b.item_id <> a.item_id ORDER BY md5(CAST(b.item_id AS VARCHAR)) LIMIT 1) AS shot FROM benchmark AS a",
     "prompt_render": f"SELECT item_id, 'f_' || {_WORDS} AS entry, 'def f_' || {_WORDS} || '():' || chr(10) || '    \"\"\"' || substr(text, 1, 40) || '\"\"\"' || chr(10) AS prompt FROM benchmark",
 }
-QUERIES = {f.__name__: f for f in (cluster_idioms, reusability_diversity, idiom_report_sort, api_index, classification_metrics, auroc_ap_hard, pass_at_k, fewshot_leave_one_out, prompt_render, sast_nodes, sast_roundtrip)}
+QUERIES = {f.__name__: f for f in (cluster_idioms, reusability_diversity, idiom_report_sort, api_index, classification_metrics, auroc_ap_hard, pass_at_k, fewshot_leave_one_out, prompt_render, prompt_render_whole, sast_nodes, sast_roundtrip)}
