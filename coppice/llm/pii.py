@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 
 CONTEXT = 48
 CHUNK = 256
+#: Gaps within CONTEXT, of any characters or of none that make words.
+NEARBY = r"(?s)^.{0,%d}$" % CONTEXT
+APART = r"^[^A-Za-z0-9]{0,%d}$" % CONTEXT
 
 
 @dataclass(frozen=True)
@@ -24,10 +27,14 @@ class Kind:
     pattern: str
     #: A cheap necessary condition on the text.
     near: str
-    #: Score of a confirmed match, and what context words before it add; at 50 or more a span counts.
+    #: Score of a confirmed match, and what context words around it add; at 50 or more a span counts.
     score: int = 100
     context: str = ""
     bonus: int = 0
+    #: Matches that count without context.
+    sure: str = ""
+    #: Gaps over which the context of one match holds for the next: lists and columns.
+    link: str = ""
 
 
 #: The base kinds, in the order in which equal starts are listed, then the method's own.
@@ -36,9 +43,9 @@ KINDS = [
     Kind("ip", r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", r"[0-9]\.[0-9]++\.[0-9]"),
     Kind("card", r"[0-9](?:[\x20-]?+[0-9])++", r"[0-9](?:[\x20-]?+[0-9]){11}"),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]"),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", r"[A-Z]{2}[0-9]{2}", 60, r"(?i)iban|account|konto|bank", 40),
-    Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", r"[0-9]{3}-[0-9]{2}-", 30, r"(?i)\bssn\b|social security|tax id", 40),
-    Kind("secret", r"(?<![A-Za-z0-9])(?:[0-9a-f]{40}|[0-9a-f]{64}|AKIA[0-9A-Z]{16}|ghp_[A-Za-z0-9]{36})(?![A-Za-z0-9])", r"[0-9a-f]{40}|AKIA|ghp_", 20, r"(?i)(?:token|secret|password|passwd|api[_-]?key)[\"']?\s*[:=]\s*[\"']?$", 60),
+    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", r"[A-Z]{2}[0-9]{2}", 60, r"(?i)iban|account|konto|bank", 40, link=NEARBY),
+    Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", r"[0-9]{3}-[0-9]{2}-", 30, r"(?i)\bssn\b|social security|tax id", 40, link=NEARBY),
+    Kind("secret", r"(?<![A-Za-z0-9])(?:[0-9a-f]{40}|[0-9a-f]{64}|AKIA[0-9A-Z]{16}|ghp_[A-Za-z0-9]{36})(?![A-Za-z0-9])", r"[0-9a-f]{40}|AKIA|ghp_", 20, r"(?i)(?:token|secret|password|passwd|api[_-]?key)[\"']?\s*[:=]", 60, r"^(?:AKIA|ghp_)", APART),
 ]
 BASE = 4
 
@@ -112,21 +119,41 @@ def spans(docs: DataFrame, text: str = "text") -> DataFrame:
         m, g = F.col(f"_m{k}"), F.col(f"_g{k}")
         lengths = F.zip_with(F.slice(g, 1, F.size(m)), m, lambda a, b: F.length(a) + F.length(b))
         df = df.withColumn(f"_e{k}", F.when(g.isNotNull(), _sums(lengths, F.size(m))))
-        of = F.arrays_zip(F.slice(g, 1, F.size(m)).alias("g"), m.alias("m"), F.col(f"_e{k}").alias("e"))
+        of = F.arrays_zip(m.alias("m"), F.col(f"_e{k}").alias("e"), *([_supported(kind, g, m).alias("c")] if kind.context else []))
 
         made = F.transform(F.filter(of, _accepted(kind)), _placed(k))
         some.append(F.coalesce(F.when(g.isNotNull(), made), F.array().cast("array<struct<start:int,kind:int,end:int>>")))
     return df.withColumn("spans", F.sort_array(F.concat(*some))).drop("_t", *[f"_{c}{k}" for k in range(len(KINDS)) for c in "mge"])
 
 
-def _accepted(kind: Kind) -> Callable[[Column], Column]:
-    def counts(x: Column) -> Column:
-        ok = confirmed(kind.name, x["m"])
-        if kind.context:
-            ok &= F.lit(kind.score) + F.when(F.substring(x["g"], -CONTEXT, CONTEXT).rlike(kind.context), kind.bonus).otherwise(0) >= 50
-        return ok
+def _supported(kind: Kind, g: Column, m: Column) -> Column:
+    """C for each match with enough score: by itself, by context within CONTEXT characters on either side, or linked to such a match before it.
+
+    The texts around a match are put together from its neighbours' gaps and matches. Five on a side hold CONTEXT characters, for no kind with
+    context has matches of under eleven, with a character between. Shifted arrays keep this linear in a text's matches.
+    """
+    n = F.size(m)
+    tail = lambda x: F.substring(x, -CONTEXT, CONTEXT)
+    head = lambda x: F.substring(x, 1, CONTEXT)
+    gaps = F.slice(g, 1, n)
+    tails = F.zip_with(gaps, m, lambda a, b: F.concat(tail(a), b))
+    heads = F.concat(F.zip_with(gaps, m, lambda a, b: F.concat(head(a), b)), F.transform(F.slice(g, -1, 1), head))
+    back = [F.slice(F.concat(F.array_repeat(F.lit(""), k), tails), F.lit(1), n).alias(f"b{k}") for k in range(5, 0, -1)]
+    on = [F.slice(heads, F.lit(k + 1), n).alias(f"f{k}") for k in range(1, 6)]
+
+    def flag(x: Column) -> Column:
+        before = tail(F.concat_ws("", *[x[f"b{k}"] for k in range(5, 0, -1)], x["g"]))
+        after = head(F.concat_ws("", *[x[f"f{k}"] for k in range(1, 6)]))
+        score = F.lit(kind.score) + F.when(before.rlike(kind.context) | after.rlike(kind.context), kind.bonus).otherwise(0)
+        sure = x["m"].rlike(kind.sure) if kind.sure else F.lit(False)
+        return F.when(sure | (score >= 50), "C").when(x["g"].rlike(kind.link), "L").otherwise(".")
+
+    flags = F.transform(F.arrays_zip(gaps.alias("g"), m.alias("m"), *back, *on), flag)
+    return F.split(F.regexp_replace(F.array_join(flags, ""), r"(?:(?<=C)|(?!^)\G)L", "C"), "(?!^)(?=.)")
 
-    return counts
+
+def _accepted(kind: Kind) -> Callable[[Column], Column]:
+    return lambda x: confirmed(kind.name, x["m"]) & (x["c"] == "C") if kind.context else confirmed(kind.name, x["m"])
 
 
 def _placed(k: int) -> Callable[[Column], Column]:
