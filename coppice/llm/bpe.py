@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import json
 import re
+import unicodedata
 from array import array
 from functools import lru_cache
 
@@ -24,11 +25,14 @@ import tiktoken
 from tokenizers import Tokenizer
 
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Beyond these characters the library itself encodes a piece, so that no difference of Unicode versions can matter.
-PLAIN = re.compile("[\x00-ɏ -⁯]*")
+#: Characters on which no two versions of Unicode differ; the others are asked for one by one.
+PLAIN = re.compile(r"[\n\t\x20-\x7e]*")
+#: Beyond so many spaces in a row tiktoken's own pattern fails; the library takes such texts.
+LONG = 10_000
+_SPACES = re.compile(r"\s{%d}" % LONG)
 _RISKY = re.compile(r" (?:\s|$)")
 _BEFORE_WORD = re.compile(r" (?=\S)")
-PIECES, PAIRS = 500_000, 1 << 21
+PIECES, PAIRS = 200_000, 1 << 20
 
 
 def _byte_letters() -> dict[str, int]:
@@ -38,8 +42,26 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in kept} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+class _Agreed(dict):
+    """Whether the library, the pattern here and tiktoken treat a character alike beside letters, digits, marks and spaces; found out once a character."""
+
+    def __init__(self, bpe: ByteBPE):
+        super().__init__()
+        self.bpe = bpe
+
+    def __missing__(self, c: str) -> bool:
+        bpe, same = self.bpe, unicodedata.category(c) != "Cn"
+        for probe in (f"a{c}a", f"1{c}1", f"!{c}!", f" {c} {c}{c}a", f"a {c}1"):
+            cuts = [probe[a:b] for _, (a, b) in bpe.library.pre_tokenizer.pre_tokenize_str(probe)]
+            same = same and cuts == bpe._words(probe) and bpe.library.encode(probe, add_special_tokens=False).ids == bpe.ordinary(probe)
+        self[c] = same
+        return same
+
+
 class ByteBPE:
-    def __init__(self, path: str, pieces: int = PIECES):
+    """speculate: whether words are proposed and verified; else the merges are made one after another. The ids are the same."""
+
+    def __init__(self, path: str, pieces: int = PIECES, speculate: bool = True):
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
@@ -55,11 +77,16 @@ class ByteBPE:
         for t, i in self.special.items():
             self.token_bytes[i] = t.encode()
         self._check_ranks(spec["model"]["merges"], vocab)
-        self._merge = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=self.ranks, special_tokens={})._core_bpe.encode_single_piece
+        merging = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=self.ranks, special_tokens={})
+        self._merge, self.ordinary = merging._core_bpe.encode_single_piece, merging._core_bpe.encode_ordinary
+        self.agreed, self.speculate = _Agreed(self), speculate
         self._words = regex.compile(PATTERN).findall
         self._split_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.limit = pieces
         self.known: dict[str, bytes] = {}
+        self.proposed = self.failed = 0
+        if not speculate:
+            return
         self._longest = ahocorasick.Automaton()
         for b, i in self.ranks.items():
             if self._merge(b) == [i] and self._stable(b):
@@ -70,7 +97,6 @@ class ByteBPE:
         self._longest.make_automaton()
         self._pair_key = np.full(PAIRS, -1, np.int64)
         self._pair_ok = np.zeros(PAIRS, bool)
-        self.proposed = self.failed = 0
 
     @staticmethod
     def _check_ranks(merges: list, vocab: dict[str, int]) -> None:
@@ -143,10 +169,10 @@ class ByteBPE:
 
     def _learn(self, missing: list[str]) -> None:
         """Encode pieces that this worker hasn't met."""
-        known = self.known
+        known, agreed = self.known, self.agreed.__getitem__
         single, several = [], []
         for p in missing:
-            if not p.isascii() and not PLAIN.fullmatch(p):
+            if not PLAIN.fullmatch(p) and not all(map(agreed, p)):
                 known[p] = array("I", self.library.encode(p, add_special_tokens=False).ids).tobytes()
             elif p[1:].isalpha() and (p[0] == " " or p[0].isalpha()):
                 single.append(p)
@@ -157,10 +183,18 @@ class ByteBPE:
         fresh = [w for w in dict.fromkeys([*single, *(w for _, ws in several for w in ws)]) if w not in known]
         got = dict(zip(fresh, self.words([w.encode() for w in fresh]), strict=True))
         for p in single:
-            known[p] = got[p]
+            known[p] = got[p] if p in got else known[p]
         for p, ws in several:
             known[p] = b"".join([got[w] if w in got else known[w] for w in ws])
 
+    def _merged(self, text: str) -> bytes:
+        """Ids of a text by merging alone; nothing is remembered."""
+        if not all(map(self.agreed.__getitem__, set(text))) or len(text) > LONG and _SPACES.search(text):
+            return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+        if any(s in text for s in self.special):
+            return b"".join(np.array([self.special[x]], "<u4").tobytes() if k % 2 else array("I", self.ordinary(x)).tobytes() for k, x in enumerate(self._split_special.split(text)))
+        return array("I", self.ordinary(text)).tobytes()
+
     @staticmethod
     def pieces(text: str) -> list[str]:
         """Cut before each space that precedes a non-space; the space goes with what follows."""
@@ -171,6 +205,8 @@ class ByteBPE:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as little-endian unsigned 32-bit integers; special strings inside texts are special tokens."""
+        if not self.speculate:
+            return list(map(self._merged, texts))
         known = self.known
         out: list[bytes] = []
         todo: list[list[str]] = []
@@ -200,7 +236,7 @@ class ByteBPE:
         return b"".join(map(self.token_bytes.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=2)
-def byte_bpe(path: str) -> ByteBPE:
-    """One encoder, with its memory of pieces, per worker process and vocabulary."""
-    return ByteBPE(path)
+@lru_cache(maxsize=1)
+def byte_bpe(path: str, speculate: bool = True) -> ByteBPE:
+    """One encoder, with its memory of pieces, per worker process; with another vocabulary or way the former one goes."""
+    return ByteBPE(path, speculate=speculate)

@@ -6,8 +6,7 @@ there are. Large lengths are rounded up within groups of equal cardinality, a
 linear programme over configurations of the few sizes (solved by column
 generation) says how many sequences have which configuration, actual lengths are
 substituted, and small lengths and leftovers are placed by best fit. All of it
-works on runs of equal sequences. Plain best-fit decreasing over the same
-histogram is planned too, and the plan with fewer sequences is taken.
+works on runs of equal sequences.
 
 Documents find their places by their rank among those of the same length:
 each task numbers its own, and the counts of tasks before it are added.
@@ -29,7 +28,7 @@ from pyspark.sql import functions as F
 from .arrow import cut, slices, texts
 from .bpe import byte_bpe
 
-GROUPS, LARGE = 48, 0.2
+GROUPS, LARGE = 96, 0.2
 Run = tuple[int, tuple[int, ...]]
 
 
@@ -121,11 +120,12 @@ def configurations(sizes: list[int], counts: list[int], cap: int, rounds: int =
 
 
 def linear_grouping(hist: dict[int, int], cap: int) -> list[Run]:
+    """Group, optimise, substitute, then best fit. A configuration's slots take the longest actual lengths of their groups, its last slot the longest that the room left by the others admits."""
     large = sorted((s for s in hist if s > LARGE * cap and s < cap), reverse=True)
-    whole = [(hist[cap], (cap,))] if cap in hist else []
-    rest = {s: n for s, n in hist.items() if s < cap}
+    runs: list[Run] = [(hist[cap], (cap,))] if cap in hist else []
+    left = {s: n for s, n in hist.items() if s < cap}
     if len(large) < 2:
-        return whole + best_fit(rest, cap)
+        return runs + best_fit(left, cap)
     each = max(1, -(-sum(hist[s] for s in large) // GROUPS))
     groups: list[list[int]] = [[]]  # lengths, each group's largest first
     held = 0
@@ -135,56 +135,43 @@ def linear_grouping(hist: dict[int, int], cap: int) -> list[Run]:
             held = 0
         groups[-1].append(s)
         held += hist[s]
-    sizes = [x[0] for x in groups]
-    stock = [[[s, hist[s]] for s in x] for x in groups]
-    runs: list[Run] = []
-    for amount, config in sorted(configurations(sizes, [sum(hist[s] for s in x) for x in groups], cap), reverse=True):
+    rising = large[::-1]
+
+    def longest(lengths: list[int], room: int, picked: Counter[int]) -> int | None:
+        return next((s for s in lengths if s <= room and left[s] > picked[s]), None)
+
+    for amount, config in sorted(configurations([x[0] for x in groups], [sum(hist[s] for s in x) for x in groups], cap), reverse=True):
         slots = [k for k, n in enumerate(config) for _ in range(n)]
-        left = int(amount + 1e-9)
-        while left and slots:
-            # As many equal sequences as the next actual lengths of all slots allow.
-            per, pick, ok = Counter(slots), [], True
-            for k in per:
-                while stock[k] and not stock[k][-1][1]:
-                    stock[k].pop()
-            n = left
-            for k, times in per.items():
-                if not stock[k]:
-                    ok = False
-                    break
-                if stock[k][-1][1] >= times:
-                    n = min(n, stock[k][-1][1] // times)
-                else:
-                    n = 1
-            if not ok:
+        todo = int(amount + 1e-9)
+        while todo and slots:
+            picked: Counter[int] = Counter()
+            room = cap
+            for k in slots[:-1]:
+                if (s := longest(groups[k], room, picked)) is not None:
+                    picked[s] += 1
+                    room -= s
+            if (s := longest(rising[: bisect.bisect_right(rising, room)][::-1], room, picked)) is not None:
+                picked[s] += 1
+            if not picked:
                 break
-            for k, times in per.items():
-                for _ in range(times):
-                    while stock[k] and not stock[k][-1][1]:
-                        stock[k].pop()
-                    if stock[k]:
-                        pick.append(stock[k][-1][0])
-                        stock[k][-1][1] -= n
-            runs.append((n, tuple(pick)))
-            left -= n
-    over = {s: n for s, n in rest.items() if s <= LARGE * cap}
-    for entries in stock:
-        for s, n in entries:
-            if n:
-                over[s] = over.get(s, 0) + n
-    return whole + best_fit(over, cap, runs)
+            n = min([todo, *(left[s] // times for s, times in picked.items())])
+            for s, times in picked.items():
+                left[s] -= n * times
+            runs.append((n, tuple(sorted(picked.elements(), reverse=True))))
+            todo -= n
+    return best_fit({s: n for s, n in left.items() if n}, cap, runs)
 
 
 def plan(hist: dict[int, int], cap: int) -> list[Run]:
-    """The better of linear grouping and best-fit decreasing."""
-    made = [linear_grouping(hist, cap), best_fit(hist, cap)]
-    for runs in made:
-        got: Counter[int] = Counter()
-        for n, held in runs:
-            for s in held:
-                got[s] += n
-        assert dict(got) == hist and all(sum(held) <= cap for _, held in runs)
-    return min(made, key=lambda runs: sum(n for n, _ in runs))
+    """Linear grouping, checked: each length as often as it occurs, no sequence over `cap`."""
+    runs = linear_grouping(hist, cap)
+    got: Counter[int] = Counter()
+    for n, held in runs:
+        for s in held:
+            got[s] += n
+    if dict(got) != {s: n for s, n in hist.items() if n} or any(sum(held) > cap for _, held in runs):
+        raise AssertionError("the plan doesn't hold the lengths")
+    return runs
 
 
 def places(runs: list[Run]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -206,24 +193,29 @@ def pieces(docs: DataFrame, path: str, cap: int, end: int, id_col: str = "doc_id
     """The pieces of each document and their numbers (seq) among the task's (pid) pieces of that length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, pid = byte_bpe(path), TaskContext.get().partitionId()
-        seen: Counter[int] = Counter()
+        bpe, pid = byte_bpe(path, speculate=False), TaskContext.get().partitionId()
+        seen = [0] * (cap + 1)
         last = np.array([end], "<u4").tobytes()
         for batch in batches:
             for part in slices(batch):
-                rows: list[tuple] = []
-                for doc, ids in zip(part.column(0).to_pylist(), bpe.encode(texts(part, "text")), strict=True):
+                row, piece, first, size, crc, seq = ([] for _ in range(6))
+                for at, ids in enumerate(bpe.encode(texts(part, "text"))):
                     ids += last
                     n = len(ids) // 4
                     start, length, k = 0, (n - 1) % cap + 1, 0
                     while start < n:
-                        rows.append((doc, k, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), pid, seen[length]))
+                        row.append(at)
+                        piece.append(k)
+                        first.append(start)
+                        size.append(length)
+                        crc.append(zlib.crc32(ids[4 * start : 4 * (start + length)]))
+                        seq.append(seen[length])
                         seen[length] += 1
                         start, length, k = start + length, cap, k + 1
-                yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], schema=schema)
+                columns = [part.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (first, size, crc)), pa.array(np.full(len(row), pid, np.int32)), pa.array(seq, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "pid", "seq"]
-    schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), *((x, pa.int64()) for x in names[2:5]), ("pid", pa.int32()), ("seq", pa.int64())])
     docs = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     return docs.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, pid int, seq long")
 
