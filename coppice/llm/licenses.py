@@ -1,60 +1,45 @@
 """Licence scan: word bigrams of normalised text against templates by Dice coefficient (operator 9), in DataFrame functions only.
 
-Units are a document's sentences, lines, paragraphs and whole text. A unit with
-n bigrams can reach the threshold t only with templates of t/(2-t)*n to
-(2-t)/t*n bigrams; the templates (a fixed table) are listed under each size they
-admit, so one equality join on the size finds the candidates.
+A text is normalised once; its units are cut from the normalised text: sentences, lines,
+paragraphs, the whole, and windows. A window is as long as a template and stands where at
+least a quarter of the template's seed bigrams have their places in it; so a notice is found
+however its lines are wrapped, inside other lines, and behind comment marks, which
+normalising drops.
+
+Bounds prune before anything is compared:
+
+* Size. A unit with n bigrams can reach the threshold t only with templates of t/(2-t)*n
+  to (2-t)/t*n bigrams; templates are listed under each size that they admit.
+* Prefix. With a template of n bigrams a unit must share at least t/(2-t)*n. Anchor words
+  are chosen so that fewer bigrams than that are without any: a text that contains no
+  anchor word matches nothing, and is never normalised. This loses no match.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
+from functools import lru_cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .license_texts import TEMPLATES
+
 THRESHOLD = 0.8
-TEMPLATES: list[tuple[str, str]] = [
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License."),
-    ("Apache-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."),
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Licensed under the MIT License."),
-    ("MIT", "This project is licensed under the MIT License."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"),
-    ("MIT", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
-    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
-    ("LGPL-3.0", "This library is licensed under the GNU Lesser General Public License, version 3."),
-    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
-    ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-NC-ND-4.0", "Licensed under CC BY-NC-ND 4.0."),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
-    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
-    ("Unlicense", "This is free and unencumbered software released into the public domain."),
-    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
-    ("LGPL-2.0", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Library General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
-    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
-    ("LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
-    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
-]
-
-
-def normal(text: str) -> list[str]:
-    return re.sub(r"[^a-z0-9]+", " ", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)).split(" ")
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Words too frequent in any text to prune by.
+FREQUENT = frozenset("a all an and any are as at be by can do either for from have if in is it may more not of on or other out see should that the this to under use used version with without work you your".split())
+
+
+def words(text: str) -> list[str]:
+    return [w for w in re.sub(r"[^a-z0-9]+", " ", text.translate(str.maketrans(UPPER, LOWER))).split(" ") if w]
 
 
 def bigrams(text: str) -> list[str]:
-    words = [w for w in normal(text) if w]
-    return sorted({f"{a} {b}" for a, b in zip(words, words[1:], strict=False)})
+    w = words(text)
+    return sorted({f"{a} {b}" for a, b in zip(w, w[1:], strict=False)})
 
 
 def admitted(n: int, t: float) -> range:
@@ -62,59 +47,113 @@ def admitted(n: int, t: float) -> range:
     return range(math.ceil(t / (2 - t) * n - 1e-9), math.floor((2 - t) / t * n + 1e-9) + 1)
 
 
-def templates(spark: SparkSession, threshold: float = THRESHOLD, listed: list[tuple[str, str]] | None = None) -> DataFrame:
-    rows = [(k, name, b, s) for k, (name, text) in enumerate(listed or TEMPLATES) if (b := bigrams(text)) for s in admitted(len(b), threshold)]
-    return spark.createDataFrame(rows, "template int, license string, t_bigrams array<string>, size int")
+def least_shared(n: int, t: float) -> int:
+    """Fewest bigrams that a matching unit shares with a template of n."""
+    return math.ceil(t / (2 - t) * n - 1e-9)
+
+
+@lru_cache(maxsize=8)
+def anchors(listed: tuple[tuple[str, str], ...], t: float) -> tuple[str, ...]:
+    """Words such that every matching unit of every template has one: of each template, fewer bigrams than must be shared are without any."""
+    todo = [(set(b), least_shared(len(b), t)) for _, x in listed if (b := bigrams(x))]
+    out: list[str] = []
+    while todo := [({b for b in left if not out or out[-1] not in b.split(" ")}, k) for left, k in todo if len({b for b in left if not out or out[-1] not in b.split(" ")}) >= k]:
+        gain: Counter[str] = Counter()
+        for left, k in todo:
+            for w, n in Counter(w for b in left for w in set(b.split(" "))).items():
+                gain[w] += min(n, len(left) - k + 1) / (len(left) - k + 1) * (1e-6 if w in FREQUENT or len(w) < 3 else 1)
+        out.append(max(gain, key=lambda w: (gain[w], len(w), w)))
+    return tuple(out)
+
+
+def seeds(listed: tuple[tuple[str, str], ...], t: float) -> dict[str, list[tuple[int, int]]]:
+    """Bigrams with an anchor word that a template holds once, and their places (template, word offset)."""
+    of, out = set(anchors(listed, t)), {}
+    for k, (_, x) in enumerate(listed):
+        w = words(x)
+        pairs = [f"{a} {b}" for a, b in zip(w, w[1:], strict=False)]
+        often = Counter(pairs)
+        for at, p in enumerate(pairs):
+            if often[p] == 1 and of & set(p.split(" ")):
+                out.setdefault(p, []).append((k, at))
+    return out
+
+
+def votes(listed: tuple[tuple[str, str], ...], places: dict[str, list[tuple[int, int]]]) -> list[int]:
+    """How many seeds of each template must have their places in a window."""
+    held = Counter(k for at in places.values() for k, _ in at)
+    return [max(1, -(-held[k] // 4)) for k in range(len(listed))]
 
 
 def scan(spark: SparkSession, docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text: str = "text", listed: list[tuple[str, str]] | None = None) -> DataFrame:
-    """One row a document: n_units (matching units), license and score (thousandths of the best Dice coefficient), licenses (all, sorted).
+    """One row a document: n_units (distinct matching units), license and score (thousandths of the best Dice coefficient, rounded down), licenses (all, sorted).
 
-    Without a match, or with a null or empty text, n_units and score are 0 and license is null. Ties go to the first template.
-    Repeated rows are each reported; a null id is an id like others.
+    Without a match, or with a null or empty text, n_units and score are 0, license is null and licenses is empty. Ties go to the first template.
+    Repeated rows are each reported; a null id is an id like others; other columns are not read, whatever their names; an empty table gives no rows.
     """
-    listed = listed or TEMPLATES
-    sizes = [s for _, x in listed if (b := bigrams(x)) for s in admitted(len(b), threshold)]
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
-    lines = F.split("t", "\n")
-    paragraphs = F.split("t", r"\n[\x20\t\r]*\n")
-    pieces = F.flatten(F.transform(lines, lambda x: F.split(x, r"(?<=[.!?:;])[\x20\t]+")))
-    units = F.array_distinct(F.concat(pieces, lines, paragraphs, F.array("t")))
-    # A unit of n bigrams has at least n + 1 words of a character and a space.
-    fits = lambda x: F.length(x) >= 2 * min(sizes)
-    matches = _matches(spark, F.filter(units, fits), docs, sizes, threshold, listed)
-    return matches
-
-
-def _matches(spark: SparkSession, units, docs: DataFrame, sizes: list[int], threshold: float, listed: list[tuple[str, str]]) -> DataFrame:
-    """Templates are a fixed, small list, so the comparison is an expression over each document's own units: nothing is exploded or shuffled."""
+    known = tuple(map(tuple, listed or TEMPLATES))
+    grams = [bigrams(x) for _, x in known]
     by_size: dict[int, list[int]] = {}
-    grams = [bigrams(x) for _, x in listed]
     for k, b in enumerate(grams):
         for s in admitted(len(b), threshold) if b else ():
             by_size.setdefault(s, []).append(k)
-    template = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(len(b)).alias("n"), F.array(*map(F.lit, b)).cast("array<string>").alias("b")) for k, b in enumerate(grams)])
-    candidates = F.create_map(*[x for s, ks in sorted(by_size.items()) for x in (F.lit(s), F.array(*map(F.lit, ks)))])
-    limit = int(round(threshold * 1000))
-
-    def words(x):
-        low = F.translate(x, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-        return F.array_remove(F.split(F.regexp_replace(low, "[^a-z0-9]+", " "), " "), "")
-
-    most = max(sizes)
-    # Distinct bigrams are at most one less than the words; a unit of many more words than any template could still repeat a few, so it isn't cut off by length.
-    df = docs.withColumn("_w", F.transform(units, words))
-    pairs = lambda w: F.when(F.size(w) > 1, F.array_distinct(F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.concat_ws(" ", a, b)))).otherwise(F.array().cast("array<string>"))
-    df = df.withColumn("_b", F.filter(F.transform(F.filter("_w", lambda w: F.size(w) > min(sizes)), pairs), lambda b: F.size(b).between(min(sizes), most)))
-    df = df.withColumn("_t", template).withColumn("_c", candidates)
-
-    def best(b):
-        score = lambda k: F.floor(F.lit(2000) * F.size(F.array_intersect(b, F.get(F.col("_t"), k)["b"])) / (F.size(b) + F.get(F.col("_t"), k)["n"])).cast("int")
-        return F.array_max(F.transform(F.try_element_at(F.col("_c"), F.size(b)), lambda k: F.struct(score(k).alias("s"), (-k).alias("k"))))
-
-    df = df.withColumn("_m", F.filter(F.transform("_b", best), lambda x: x["s"] >= limit))
+    least, most = min(by_size), max(by_size)
+    places = seeds(known, threshold)
+    ints = lambda xs: F.split(F.lit(" ".join(map(str, xs))), " ").cast("array<int>")
+    # Literals: one string each, taken apart once when the plan is made.
+    of_size = F.create_map(*[x for s, ks in sorted(by_size.items()) for x in (F.lit(s), ints(ks))])
+    held = F.array(*[F.split(F.lit(",".join(b)), ",") for b in grams])
+    sizes, lengths, needed = ints(map(len, grams)), ints(len(words(x)) for _, x in known), ints(votes(known, places))
+    listed_seeds = F.split(F.lit(",".join(places)), ",")
+    seed_places = F.split(F.lit(",".join(" ".join(f"{k}:{at}" for k, at in at_all) for at_all in places.values())), ",")
+
+    t = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    df = docs.select(F.col(id_col).alias("doc_id"), t.alias("_t"))
+    low = F.lower("_t")
+    hit = None
+    for w in anchors(known, threshold):
+        hit = low.contains(w) if hit is None else hit | low.contains(w)
+    df = df.withColumn("_s", F.when(hit, _normal(F.col("_t")))).drop("_t")
+    flat = F.trim(F.regexp_replace("_s", "[ \\n\\x01]+", " "))
+    df = df.withColumn("_w", F.split(flat, " "))
+    df = df.withColumn("_p", F.zip_with(F.slice("_w", 1, F.greatest(F.size("_w") - 1, F.lit(0))), F.slice("_w", 2, F.size("_w")), lambda a, b: F.concat_ws(" ", a, b)))
+    df = df.withColumn("_here", F.array_intersect("_p", listed_seeds))
+    at = F.filter(F.transform("_p", lambda b, i: F.when(F.array_contains("_here", b), F.struct(b.alias("b"), i.alias("i")))), lambda x: x.isNotNull())
+    df = df.withColumn("_at", F.when(F.size("_here") > 0, at))
+
+    def windows(x: Column) -> Column:
+        found = F.split(F.get(seed_places, F.array_position(listed_seeds, x["b"]).cast("int") - 1), " ")
+
+        def window(p: Column) -> Column:
+            k, off = F.split_part(p, F.lit(":"), F.lit(1)).cast("int"), F.split_part(p, F.lit(":"), F.lit(2)).cast("int")
+            return F.struct(k.alias("k"), (x["i"] - off).alias("first"))
+
+        return F.transform(found, window)
+
+    df = df.withColumn("_at", F.sort_array(F.flatten(F.transform("_at", windows))))
+    # In order, the n-th of equals stands n - 1 places behind the first.
+    df = df.withColumn("_at", F.array_distinct(F.filter("_at", lambda x, i: x == F.get("_at", i + F.get(needed, x["k"]) - 1))))
+    cut = F.transform("_at", lambda x: F.array_join(F.slice("_w", F.greatest(x["first"], F.lit(0)) + 1, F.get(lengths, x["k"]) + F.least(x["first"], F.lit(0))), " "))
+    lines = F.regexp_replace("_s", "\\x01", " ")
+    own = F.concat(F.split("_s", "[\\n\\x01]"), F.split(lines, "\\n"), F.split(lines, "\\n *\\n"), F.array(flat))
+    tidy = lambda x: F.trim(F.regexp_replace(x, "[ \\n]+", " "))
+    df = df.withColumn("_u", F.when(F.size("_here") > 0, F.array_distinct(F.concat(F.transform(F.filter(own, lambda x: F.length(x) > 2 * least), tidy), cut)))).drop("_s", "_w", "_p", "_here", "_at")
+
+    def paired(unit: Column) -> Column:
+        w = F.split(unit, " ")
+        return F.array_distinct(F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.concat_ws(" ", a, b)))
+
+    pairs = F.filter(F.transform(F.filter("_u", lambda u: F.length(u) - F.length(F.replace(u, F.lit(" "), F.lit(""))) >= least), paired), lambda b: F.size(b).between(least, most))
+    df = df.withColumn("_b", pairs).drop("_u")
+
+    def best(b: Column) -> Column:
+        score = lambda k: F.floor(F.lit(2000) * F.size(F.array_intersect(b, F.get(held, k))) / (F.size(b) + F.get(sizes, k))).cast("int")
+        return F.array_max(F.transform(F.try_element_at(of_size, F.size(b)), lambda k: F.struct(score(k).alias("s"), (-k).alias("k"))))
+
+    limit = round(threshold * 1000)
+    df = df.withColumn("_m", F.coalesce(F.filter(F.transform("_b", best), lambda x: x["s"] >= limit), F.array().cast("array<struct<s:int,k:int>>"))).drop("_b")
     top = F.array_max("_m")
-    names = F.array(*[F.lit(name) for name, _ in listed])
+    names = F.split(F.lit(",".join(name for name, _ in known)), ",")
     return df.select(
         "doc_id",
         F.size("_m").cast("long").alias("n_units"),
@@ -122,3 +161,9 @@ def _matches(spark: SparkSession, units, docs: DataFrame, sizes: list[int], thre
         F.coalesce(top["s"], F.lit(0)).cast("long").alias("score"),
         F.array_join(F.array_sort(F.array_distinct(F.transform("_m", lambda x: F.get(names, -x["k"])))), ",").alias("licenses"),
     )
+
+
+def _normal(t: Column) -> Column:
+    """Words of a-z and 0-9 between single marks: \\x01 for the end of a sentence within a line, line feeds, else spaces."""
+    low = F.translate(F.regexp_replace(t, "\\x01", " "), UPPER, LOWER)
+    return F.regexp_replace(F.regexp_replace(low, "(?<=[.!?:;])[\\x20\\t]+", "\x01"), "[^a-z0-9\\n\\x01]+", " ")

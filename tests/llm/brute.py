@@ -124,3 +124,29 @@ def chat(rows):
         chars = sum(len(f"<|im_start|>{escaped(r.replace(chr(92), chr(92) * 2).replace(chr(10), chr(92) + 'n'))}\n{escaped(t)}<|im_end|>\n") for _, r, t in turns)
         out[c] = (len(turns), hexed("".join(f"{r}\n{t}\n" for _, r, t in turns)), len(loss), hexed(loss), chars)
     return out
+
+
+def licenses(text, listed, threshold, seeds, votes):
+    """Scores of the units that match: {words of the unit: (thousandths, -template)}. seeds: bigram to (template, offset)."""
+    fold = lambda x: re.sub(r"[^a-z0-9]+", " ", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in x)).split()
+    t = text or ""
+    lines = t.split("\n")
+    units = {tuple(fold(s)) for x in lines for s in re.split(r"(?<=[.!?:;])[\x20\t]+", x)} | {tuple(fold(x)) for x in lines} | {tuple(fold(t))}
+    block: list = []
+    for x in [*lines, ""]:
+        if fold(x):
+            block += fold(x)
+        else:
+            units.add(tuple(block))
+            block = []
+    known, w = [fold(x) for _, x in listed], fold(t)
+    got = Counter((k, i - off) for i, (a, b) in enumerate(zip(w, w[1:])) for k, off in seeds.get(f"{a} {b}", ()))
+    units |= {tuple(w[max(0, i) : i + len(known[k])]) for (k, i), n in got.items() if n >= votes[k]}
+    out = {}
+    pairs = lambda x: set(zip(x, x[1:]))
+    for u in units:
+        mine = pairs(u)
+        scored = [(2000 * len(mine & p) // (len(mine) + len(p)), -k) for k, x in enumerate(known) if (p := pairs(x)) and mine and len(mine & p) * 2 >= threshold * (len(mine) + len(p)) - 1e-9]
+        if scored:
+            out[u] = max(scored)
+    return out
