@@ -1,25 +1,31 @@
-"""Removal of repeated byte strings by sampled suffixes (operator 4).
-
-A suffix array of every byte would be many times the corpus. Here the suffixes
-that are compared are the anchors of anchors.py: a repeated string of `length`
-bytes has its anchor at the same place in each occurrence, so none is missed.
-Suffixes are dealt by their leading gram, and equal heads meet. Then, coarse to
-fine, each in hashes of 128 bits:
-
-1. A gram that occurs once: none of its windows is repeated.
-2. The whole stretch of windows around an anchor occurs again: all of them are.
-3. Otherwise the stretch is cut into blocks of BLOCK windows, aligned to the
-   anchor. All windows of a block share its core; a core that occurs once ends
-   it. What is left is compared window by window as the core and the few bytes
-   at its sides.
-
-No step gathers the rows of a key: counts are added up before and after the
-shuffle, and joins on counted keys may split their large partitions. A text is
-known by its digest, so exact copies are one text with a weight.
+"""Removal of repeated byte strings by sorting suffixes in range-partitioned buckets (operator 4).
+
+Sorting the suffix of every byte would move many times the corpus. A string of
+`length` bytes is found by one suffix: that of its anchor (anchors.py), which lies
+at the same place in each of its occurrences. Two sorts, the coarse one first:
+
+1. Suffixes of anchors, by two tokens: the leading gram, and all bytes of the
+   stretch of windows that have this anchor (digests of 64 and 128 bits). A gram
+   that occurs once ends its windows. A stretch that occurs again is repeated as
+   a whole. Others beside one of the same gram are asked further, one of each.
+2. Suffixes of these stretches' blocks of BLOCK windows. All windows of a block
+   share its core; the suffixes are sorted by the bytes of their cores. In a run
+   of equal cores windows are compared by the few bytes beside the core.
+
+Both sorts are alike. Splitters are sampled, and suffixes are dealt into ranges
+of their leading tokens, ties by text and place: so a hot key is split over as
+many buckets as it fills. A bucket is sorted by multikey quicksort, token by
+token and only where the tokens before are equal, and its runs of equal keys are
+read off. Only a bucket's first and last run may go on in another bucket: of
+these one row a kind is sent on and compared across boundaries.
+
+A text is known by its digest; a task passes on two copies of it at most, enough
+to know that it is repeated.
 """
 
 from __future__ import annotations
 
+import gc
 from collections import Counter
 from collections.abc import Iterator
 from hashlib import sha256
@@ -33,7 +39,12 @@ from pyspark.sql import functions as F
 from .anchors import GRAM, runs
 from .arrow import cut, forget, slices
 
-BLOCK = 16
+BLOCK, LEAD = 64, 64
+#: Suffixes in a bucket of either sort, about.
+HEADS, CORES = 1 << 18, 1 << 16
+#: Digests of texts that a task remembers.
+REMEMBERED = 400_000
+WHOLE, ASKED, EDGE = 1, 2, 3
 
 
 def _digest(text: str = "text"):
@@ -44,97 +55,259 @@ def _key(data: bytes) -> bytes:
     return sha256(data).digest()[:16]
 
 
-def suffixes(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """One row a stretch of window starts [lo, hi] with one anchor: the digests of the anchor's gram and of all bytes of these windows. n: copies met together."""
+def _table(columns: list, kinds: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
+
+def _numbers(table: pa.Table, name: str) -> np.ndarray:
+    return table.column(name).to_numpy()
+
+
+def multikey_sort(tokens: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the rows by their tokens, and how many leading tokens each shares with the one before it.
+
+    Multikey quicksort, all ranges of a depth at a time: a range of rows that are equal so far is sorted by the next token, and only what is
+    equal in it goes on to the token after.
+    """
+    n = len(tokens[0])
+    order, shared = np.arange(n), np.zeros(n, np.int64)
+    at, group = np.arange(n), np.zeros(n, np.int64)  # places in `order` that are still open, and their ranges
+    for token in tokens:
+        if not len(at):
+            break
+        rows = order[at]
+        rows = rows[np.lexsort((token[rows], group))]
+        order[at] = rows
+        same = np.zeros(len(at), bool)
+        same[1:] = (group[1:] == group[:-1]) & (token[rows[1:]] == token[rows[:-1]])
+        shared[at[same]] += 1
+        begins = ~same
+        group = np.cumsum(begins)
+        keep = same.copy()
+        keep[:-1] |= same[1:]
+        at, group = at[keep], group[keep]
+    return order, shared
+
+
+def heads(docs: DataFrame, length: int, gram: int) -> DataFrame:
+    """One row a stretch of window starts [lo, hi] with one anchor (at): its two tokens, the second in halves."""
+    names = ["gram", "a0", "a1", "th", "lo", "hi", "at"]
+    kinds = [pa.int64()] * 3 + [pa.binary()] + [pa.int32()] * 3
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter[bytes] = Counter()
         for batch in batches:
-            for part in slices(batch):
-                found = Counter((x or "").encode() for x in part.column(0).to_pylist())
-                cols: list[list] = [[] for _ in range(7)]
-                for data, n in found.items():
+            for part in slices(batch, 64):
+                cols: list[list] = [[] for _ in names]
+                for text in part.column(0).to_pylist():
+                    data = (text or "").encode()
                     if len(data) < length:
                         continue
+                    th = _key(data)
+                    if seen[th] == 2:
+                        continue
+                    seen[th] += 1
                     first, last, anchor = runs(np.frombuffer(data, np.uint8), length, gram)
-                    view, th = memoryview(data), _key(data)
-                    lo, hi, at = first.tolist(), last.tolist(), anchor.tolist()
-                    for c, x in zip(
-                        cols,
-                        (
-                            [th] * len(lo),
-                            lo,
-                            hi,
-                            at,
-                            [xxhash.xxh3_64_intdigest(view[a : a + gram]) - (1 << 63) for a in at],
-                            [xxhash.xxh3_128_digest(view[a : b + length]) for a, b in zip(lo, hi, strict=True)],
-                            [n] * len(lo),
-                        ),
-                        strict=True,
-                    ):
+                    view, lo, hi, at = memoryview(data), first.tolist(), last.tolist(), anchor.tolist()
+                    around = np.frombuffer(b"".join([xxhash.xxh3_128_digest(view[a : b + length]) for a, b in zip(lo, hi, strict=True)]), np.int64)
+                    grams = np.array([xxhash.xxh3_64_intdigest(view[a : a + gram]) for a in at], np.uint64).view(np.int64)
+                    for c, x in zip(cols, (grams, around[::2], around[1::2], [th] * len(lo), lo, hi, at), strict=True):
                         c.extend(x)
-                kinds = [pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.int32()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["th", "lo", "hi", "at", "gram", "around", "n"])
+                if len(seen) > REMEMBERED:
+                    seen.clear()
+                yield _table(cols, kinds, names)
 
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "th binary, lo int, hi int, at int, gram long, around binary, n int")
+    return docs.select("text").mapInArrow(run, "gram long, a0 long, a1 long, th binary, lo int, hi int, at int")
+
+
+def _bucketed(spark: SparkSession, rows: DataFrame, keys: list[str], each: int, sort, schema: str) -> DataFrame:
+    """rows (a written table) dealt into ranges of `keys` by sampled splitters; sort(table) -> record batches of a bucket's runs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if held:
+            yield from sort(pa.Table.from_batches(held))
+
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // each))
+    return rows.repartitionByRange(parts, *keys).mapInArrow(run, schema)
+
+
+def _first_sort(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    """WHOLE: repeated stretches. ASKED: one of each kind of stretch that shares its gram with others. EDGE: one of each kind in the first and last run."""
+    order, shared = multikey_sort([_numbers(table, c) for c in ("gram", "a0", "a1")])
+    begins, kind = np.flatnonzero(shared == 0), np.flatnonzero(shared < 3)
+    size = np.diff(np.r_[kind, len(order)])
+    run = np.cumsum(shared == 0)[kind] - 1  # of each kind
+    kinds, least = np.bincount(run), np.full(len(begins), 1 << 60)
+    np.minimum.at(least, run, size)
+    edge = (run == 0) | (run == len(begins) - 1)
+    # Of rows of one text and place one is enough.
+    whole = order[np.repeat(size > 1, size)]
+    asked = order[kind[~edge & (kinds[run] > 1) & (least[run] == 1)]]
+    edges = order[kind[edge]]
+    for what, rows, m in ((WHOLE, whole, None), (ASKED, asked, None), (EDGE, edges, size[edge])):
+        part = table.take(pa.array(rows)).combine_chunks()
+        if len(rows):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), what, np.int32)), *(part.column(c).combine_chunks() for c in part.column_names), pa.array(np.zeros(len(rows), np.int64) if m is None else m)], ["what", *part.column_names, "m"])
 
 
 def blocks(texts: DataFrame, length: int) -> DataFrame:
-    """Cut the stretches of each text (th, text, found: array of lo, hi, at) into blocks: core digest, offsets [low, high] within it, and the bytes beside the core."""
+    """The stretches of each text (th, text, found: array of lo, hi, at) cut into blocks: the core, and the bytes beside it.
+
+    from_, to: the block's windows, by how many bytes before the core they begin; place: where the core begins.
+    """
+    names = ["lead", "mix", "core", "th", "place", "from_", "to", "left", "right"]
+    kinds = [pa.binary(), pa.int64(), pa.binary(), pa.binary(), *[pa.int32()] * 3, pa.binary(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
         for batch in batches:
-            for part in slices(batch):
-                cols: list[list] = [[] for _ in range(7)]
+            for part in slices(batch, 64):
+                cols: list[list] = [[] for _ in names]
                 for th, text, found in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                    if th in seen:  # a copy: its windows are repeated, and known to be
+                        continue
+                    seen.add(th)
                     data = (text or "").encode()
                     for r in found:
-                        at = r["at"]
-                        for j in range((at - r["hi"]) // BLOCK, (at - r["lo"]) // BLOCK + 1):
-                            low, high = max(at - r["hi"], j * BLOCK), min(at - r["lo"], j * BLOCK + BLOCK - 1)
-                            left, right = at - j * BLOCK, at - j * BLOCK - BLOCK + 1 + length  # the core
-                            core = xxhash.xxh3_128(data[left:right], seed=j).digest()
-                            for c, x in zip(cols, (th, at, core, low, high, data[at - high : left], data[right : at - low + length]), strict=True):
+                        at, lo, hi = r["at"], r["lo"], r["hi"]
+                        for j in range((at - hi) // BLOCK, (at - lo) // BLOCK + 1):
+                            a, b = max(at - hi - j * BLOCK, 0), min(at - lo - j * BLOCK, BLOCK - 1)
+                            begin = at - j * BLOCK
+                            end = begin - BLOCK + 1 + length
+                            core = data[begin:end]
+                            row = (core[:LEAD], xxhash.xxh3_64_intdigest(core) - (1 << 63), core, th, begin, a, b, data[begin - b : begin], data[end : end + BLOCK - 1 - a])
+                            for c, x in zip(cols, row, strict=True):
                                 c.append(x)
-                kinds = [pa.binary(), pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["th", "at", "core", "low", "high", "left", "right"])
+                if len(seen) > REMEMBERED:
+                    seen.clear()
+                yield _table(cols, kinds, names)
+
+    return texts.select("th", "text", "found").mapInArrow(run, "lead binary, mix long, core binary, th binary, place int, from_ int, to int, left binary, right binary")
+
+
+def _common(a: bytes, b: bytes) -> int:
+    """How many leading bytes are equal."""
+    n = min(len(a), len(b))
+    return n - ((int.from_bytes(a[:n]) ^ int.from_bytes(b[:n])).bit_length() + 7) // 8
+
+
+def _second_sort(parts: int):
+    """Hits: th, lo, hi. Of the first and last run, what windows there are: packed by core and shard, one entry a distinct window."""
+    packed = np.dtype([("k0", "<i8"), ("k1", "<i8"), ("th", "S16"), ("start", "<i4"), ("known", "u1")])
+    names, kinds = ["th", "lo", "hi", "core", "shard", "windows"], [pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.binary()]
+
+    def sort(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        cores = table.column("core").to_pylist()
+        width = -(-max(map(len, cores)) // 8) * 8
+        raw = np.frombuffer(b"".join(c.ljust(width, b"\0") for c in cores), ">u8").reshape(len(cores), -1).astype(np.uint64)
+        mix = (_numbers(table, "mix").astype(np.int64).view(np.uint64)) ^ np.uint64(1 << 63)
+        lead = LEAD // 8
+        tokens = [*(raw[:, k] for k in range(min(lead, raw.shape[1]))), mix, *(raw[:, k] for k in range(lead, raw.shape[1]))]
+        order, shared = multikey_sort(tokens)
+        begins = np.flatnonzero(shared < len(tokens))
+        ends = np.r_[begins[1:], len(order)]
+        ths, lefts, rights = (table.column(c).to_pylist() for c in ("th", "left", "right"))
+        place, first, last = (_numbers(table, c).tolist() for c in ("place", "from_", "to"))
+        out: list[tuple] = []
+        for k in [*np.flatnonzero(ends - begins > 1).tolist(), *({0, len(begins) - 1} - set(np.flatnonzero(ends - begins > 1).tolist()))]:
+            rows = order[begins[k] : ends[k]].tolist()
+            edge = k in (0, len(begins) - 1)
+            alike: dict[tuple, list[int]] = {}
+            for x in rows:
+                alike.setdefault((first[x], last[x], lefts[x], rights[x]), []).append(x)
+            single = [v[0] for v in alike.values() if len(v) == 1]
+            out += [(ths[x], place[x] - last[x], place[x] - first[x], None, None, None) for v in alike.values() if len(v) > 1 for x in v]
+            if not edge and (len(alike) < 2 or not single):
+                continue
+            if len(alike) == 2 and not edge:
+                x, y = (v[0] for v in alike.values())
+                low = max(first[x], first[y], BLOCK - 1 - _common(rights[x], rights[y]))
+                high = min(last[x], last[y], _common(lefts[x][::-1], lefts[y][::-1]))
+                if low <= high:
+                    out += [(ths[z], place[z] - high, place[z] - low, None, None, None) for z in single]
+                continue
+            hits: dict[int, list[int]] = {x: [] for x in single}
+            entries: list[tuple] = []
+            kinds_of = [(v[0], len(v)) for v in alike.values()]
+            for o in range(min(first[x] for x, _ in kinds_of), max(last[x] for x, _ in kinds_of) + 1):
+                here = [(x, n, lefts[x][last[x] - o :] + b"|" + rights[x][: BLOCK - 1 - o]) for x, n in kinds_of if first[x] <= o <= last[x]]
+                often: Counter[bytes] = Counter()
+                for _, n, w in here:
+                    often[w] += n
+                for x, n, w in here:
+                    if n == 1 and often[w] > 1:
+                        hits[x].append(o)
+                if edge:
+                    entries += [(*np.frombuffer(xxhash.xxh3_128_digest(bytes([o]) + w), np.int64).tolist(), ths[x], place[x] - o, often[w] > 1) for w, x in {w: x for x, _, w in here}.items()]
+            for x, at in hits.items():
+                begin = 0
+                for k in range(1, len(at) + 1):
+                    if k == len(at) or at[k] != at[k - 1] + 1:
+                        out.append((ths[x], place[x] - at[k - 1], place[x] - at[begin], None, None, None))
+                        begin = k
+            if edge:
+                core = sha256(cores[rows[0]]).digest()[:16]
+                sent = np.array(entries, packed)
+                shards = sent["k0"] % parts
+                for s in np.unique(shards).tolist():
+                    out.append((None, None, None, core, s, sent[shards == s].tobytes()))
+        yield _table(list(zip(*out, strict=True)) if out else [[]] * 6, kinds, names)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Windows that several buckets sent: rows come sorted by core and shard."""
+        now, held = None, []
+
+        def hits() -> pa.RecordBatch:
+            e = np.frombuffer(b"".join(held), packed)
+            e = e[np.lexsort((e["k1"], e["k0"]))]
+            same = (e["k0"][1:] == e["k0"][:-1]) & (e["k1"][1:] == e["k1"][:-1])
+            hit = e[(np.r_[False, same] | np.r_[same, False]) & (e["known"] == 0)]
+            th = [x.ljust(16, b"\0") for x in hit["th"].tolist()]
+            return _table([th, hit["start"], hit["start"]], kinds[:3], names[:3])
+
+        for batch in batches:
+            for core, shard, windows in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+                if (core, shard) != now:
+                    if len(held) > 1:
+                        yield hits()
+                    now, held = (core, shard), []
+                held.append(windows)
+        if len(held) > 1:
+            yield hits()
 
-    return texts.select("th", "text", "found").mapInArrow(run, "th binary, at int, core binary, low int, high int, left binary, right binary")
+    return sort, meet
 
 
 def repeated(spark: SparkSession, docs: DataFrame, length: int = 400, gram: int = GRAM) -> DataFrame:
     """Starts of repeated windows by text: th, found (array of struct lo, hi); texts without any are absent."""
     docs = docs.select(F.col("text").cast("string").alias("text"))
-    made = cut(spark, suffixes(docs, length, gram))
-    twice = made.groupBy("gram").agg(F.sum("n").alias("_n")).where("_n > 1").select("gram")
-    heads = cut(spark, made.join(twice, "gram"))
-    forget(spark, made)
-    kinds = heads.groupBy("gram", "around").agg(F.sum("n").alias("m"), F.min(F.struct("th", "lo", "hi", "at")).alias("one"))
-    # (2) All windows around the anchor occur again.
-    wholes = kinds.where("m > 1").select("gram", "around")
-    whole = heads.join(wholes, ["gram", "around"]).groupBy("th", "lo", "hi").agg(F.lit(1).alias("_")).select("th", "lo", "hi")
-    # (3) A stretch of its own beside others of its gram; of equal stretches one stands for all.
-    kinds = cut(spark, kinds)
-    open_ = kinds.groupBy("gram").agg(F.min("m").alias("least"), F.count("*").alias("k")).where("least = 1 and k > 1").select("gram")
-    need = kinds.join(open_, "gram").select("one.*", "m")
-    asked = need.groupBy("th").agg(F.collect_list(F.struct("lo", "hi", "at")).alias("found"))
-    # Any one copy of a text will do; copies are dropped in their own partition first and the rest count as further occurrences of windows that are repeated anyway.
-    some = docs.withColumn("th", _digest()).join(asked.hint("shuffle_hash"), "th")
-    parts = cut(spark, blocks(some, length))
-    alone = need.where("m = 1").select("th").distinct()
-    cores = parts.groupBy("core").agg(F.count("*").alias("_n")).where("_n > 1").select("core")
-    side = parts.join(cores, "core")
-    same = side.groupBy("core", "low", "high", "left", "right").agg(F.count("*").alias("k"), F.min("th").alias("th"), F.min("at").alias("at"))
-    same = cut(spark, same)
-    # Blocks equal to another, and blocks that are the only one of their kind among others of the same core.
-    o = F.sequence(F.col("low"), F.col("high"))
-    windows = same.select("core", "k", "th", "at", "low", "high", "left", "right", F.explode(o).alias("o"))
-    windows = windows.withColumn("beside", F.concat(F.expr(f"substring(left, length(left) - (o % {BLOCK}) + 1, o % {BLOCK})"), F.lit(b"|"), F.expr(f"substring(right, 1, {BLOCK - 1} - (o % {BLOCK}))")))
-    hit = windows.groupBy("core", "o", "beside").agg(F.sum("k").alias("k"), F.count("*").alias("kinds")).where("k > 1 and kinds > 1")
-    single = windows.where("k = 1").join(hit.select("core", "o", "beside"), ["core", "o", "beside"]).select("th", (F.col("at") - F.col("o")).alias("lo"))
-    multiple = side.join(same.where("k > 1").select("core", "low", "high", "left", "right"), ["core", "low", "high", "left", "right"]).select("th", (F.col("at") - F.col("high")).alias("lo"), (F.col("at") - F.col("low")).alias("hi"))
-    found = whole.unionByName(single.select("th", "lo", F.col("lo").alias("hi"))).unionByName(multiple)
-    del alone
-    return found.groupBy("th").agg(F.collect_list(F.struct("lo", "hi")).alias("found"))
+    made = cut(spark, heads(docs, length, gram))
+    first = cut(spark, _bucketed(spark, made, ["gram", "a0", "a1", "th", "lo"], HEADS, _first_sort, "what int, gram long, a0 long, a1 long, th binary, lo int, hi int, at int, m long"))
+    _free(spark, made)
+    # Across boundaries: kinds of stretches that several buckets hold.
+    edges = first.where(f"what = {EDGE}")
+    kinds = edges.groupBy("gram", "a0", "a1").agg(F.sum("m").alias("m"), F.min(F.struct("th", "lo", "hi", "at")).alias("one"))
+    again = edges.where("m = 1").drop("m").join(kinds.where("m > 1").select("gram", "a0", "a1"), ["gram", "a0", "a1"])
+    whole = first.where(f"what = {WHOLE}").select("th", "lo", "hi").unionByName(again.select("th", "lo", "hi"))
+    need = first.where(f"what = {ASKED}").select("th", "lo", "hi", "at").unionByName(kinds.select("one.*"))
+    asked = need.groupBy("th").agg(F.collect_set(F.struct("lo", "hi", "at")).alias("found"))
+    parts = cut(spark, blocks(docs.withColumn("th", _digest()).join(asked, "th"), length))
+    sort, meet = _second_sort(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    second = cut(spark, _bucketed(spark, parts, ["lead", "mix", "th", "place"], CORES, sort, "th binary, lo int, hi int, core binary, shard int, windows binary"))
+    _free(spark, parts)
+    met = second.where("core is not null").select("core", "shard", "windows").repartition("core", "shard").sortWithinPartitions("core", "shard").mapInArrow(meet, "th binary, lo int, hi int")
+    found = whole.unionByName(second.where("core is null").select("th", "lo", "hi")).unionByName(met)
+    found = cut(spark, found.groupBy("th").agg(F.collect_set(F.struct("lo", "hi")).alias("found")))
+    _free(spark, first, second)
+    return found
+
+
+def _free(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete tables, and let the driver find out that the shuffles they were made by aren't needed any more."""
+    forget(spark, *tables)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def covered(found: list[dict] | None, length: int) -> list[tuple[int, int]]:
@@ -149,14 +322,16 @@ def covered(found: list[dict] | None, length: int) -> list[tuple[int, int]]:
 
 
 def _joined(spark: SparkSession, docs: DataFrame, length: int, gram: int) -> DataFrame:
-    found = cut(spark, repeated(spark, docs, length, gram))
-    return docs.withColumn("_th", _digest()).join(found.withColumnRenamed("th", "_th").withColumnRenamed("found", "_found").hint("shuffle_hash"), "_th", "left").drop("_th")
+    """docs (with a column text) and `found` for each row."""
+    found = repeated(spark, docs, length, gram)
+    return docs.withColumn("th", _digest()).join(found, "th", "left").drop("th")
 
 
 def report(spark: SparkSession, docs: DataFrame, length: int = 400, gram: int = GRAM, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row a document: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
-    A null text is empty. Texts shorter than `length` bytes lose nothing; a repeated row is a repetition of all its windows; ids may repeat or be null.
+    A null text is empty. Texts shorter than `length` bytes lose nothing; a repeated row is a repetition of all its windows; ids may repeat or be null;
+    other columns are not read; an empty table gives no rows.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
@@ -173,20 +348,22 @@ def report(spark: SparkSession, docs: DataFrame, length: int = 400, gram: int =
                     digest.update(data[at:])
                     rows.append((doc, len(data), sum(b - a for a, b in spans), len(spans), digest.hexdigest()))
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], k) for k in kinds], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                yield _table(list(zip(*rows, strict=True)) if rows else [[]] * 5, kinds, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return _joined(spark, docs, length, gram).select("doc_id", "text", "_found").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _joined(spark, docs, length, gram).select("doc_id", "text", "found").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def strip(spark: SparkSession, docs: DataFrame, length: int = 400, gram: int = GRAM, text: str = "text") -> DataFrame:
-    """docs with repeated strings taken out of their texts; a character goes only if all its bytes are covered. Other columns stay."""
+    """docs with repeated strings taken out of their texts; a character goes only if all its bytes are covered. A null text stays null.
+
+    Other columns stay, whatever their names; repeated rows are repetitions of each other; an empty table gives no rows.
+    """
 
     def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                k, f = part.schema.get_field_index(text), part.schema.get_field_index("_found")
                 new = []
-                for t, found in zip(part.column(k).to_pylist(), part.column(f).to_pylist(), strict=True):
+                for t, found in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
                     if found and t is not None:
                         data, kept, at = t.encode(), [], 0
                         for a, b in covered(found, length):
@@ -198,7 +375,8 @@ def strip(spark: SparkSession, docs: DataFrame, length: int = 400, gram: int = G
                             at = b
                         t = b"".join([*kept, data[at:]]).decode()
                     new.append(t)
-                yield pa.RecordBatch.from_arrays([*(pa.array(new, pa.string()) if x == k else c for x, c in enumerate(part.columns) if x != f)], [n for n in part.schema.names if n != "_found"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(new, pa.string())], ["row", "text"])
 
-    joined = _joined(spark, docs if text == "text" else docs.withColumn("text", F.col(text)), length, gram)
-    return joined.select(*docs.columns, "_found").mapInArrow(shorten, docs.schema)
+    rows = docs.select(F.struct("*").alias("row"), F.col(text).cast("string").alias("text"))
+    cleaned = _joined(spark, rows, length, gram).select("row", "text", "found").mapInArrow(shorten, rows.schema)
+    return cleaned.select(*[F.col("text").cast(docs.schema[c].dataType).alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns])

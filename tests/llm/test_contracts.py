@@ -219,3 +219,46 @@ def test_pipeline(spark, small, tmp_path):
 
 def test_all_are_registered():
     assert {n.split("_")[0] for n in queries.queries()} == {f"op{k}" for k in range(1, 11)}
+
+
+def test_near_in_many_cells(spark, monkeypatch):
+    """A hot group with pairs on both sides of the threshold, in cells far smaller than the group, against all pairs."""
+    monkeypatch.setattr(minhash, "SIDE", 8)
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(60)]
+    texts = []
+    for _ in range(240):
+        w = list(base)
+        for k in rng.choice(60, rng.integers(0, 4), replace=False):
+            w[k] = f"x{rng.integers(1 << 30)}"
+        texts.append(" ".join(w))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = brute.near(list(enumerate(texts)), 4, 80)
+    assert 1 < len({c for _, c in want.values()}) < 240
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.duplicates(spark, docs, 4, 80).collect()} == want
+
+
+def test_suffixes_over_boundaries(spark, monkeypatch):
+    """Buckets far smaller than the groups of passages, copies and near copies: what meets only across boundaries is found."""
+    monkeypatch.setattr(suffixes, "HEADS", 20)
+    monkeypatch.setattr(suffixes, "CORES", 8)
+    rng = np.random.default_rng(9)
+    prose = lambda n: " ".join("".join(rng.choice(list("abcdeé"), rng.integers(1, 9))) for _ in range(n))
+    hot, other = prose(90), prose(70)
+    texts = [prose(int(rng.integers(0, 40))) + hot[: int(rng.integers(300, len(hot)))] + prose(int(rng.integers(0, 40))) for _ in range(60)]
+    texts += [prose(5) + other + prose(3) + hot, hot, hot, hot + hot, "x" * 1500, "x" * 401, None, "", other[5:] + "!"] + [texts[0]] * 20
+    want = brute.repeats(texts, 200)
+    got = {r.doc_id: r for r in suffixes.report(spark, frame(spark, texts), 200).collect()}
+    assert {k: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for k, r in got.items()} == {k: w[:4] for k, w in enumerate(want)}
+
+
+def test_multikey_sort():
+    rng = np.random.default_rng(1)
+    tokens = [rng.integers(0, 3, 500) for _ in range(6)]
+    order, shared = suffixes.multikey_sort(tokens)
+    rows = list(zip(*(t.tolist() for t in tokens)))
+    assert [rows[k] for k in order] == sorted(rows)
+    for k in range(1, len(rows)):
+        a, b = rows[order[k - 1]], rows[order[k]]
+        assert shared[k] == next((i for i in range(6) if a[i] != b[i]), 6)
+    assert shared[0] == 0
