@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import code
 from ..sources.tables import table
+from .code import _NOCOM, _TRUNC, _unique
 
 KEYWORDS = ("the", "and")
 K1, B = 1.2, 0.75
@@ -149,21 +151,13 @@ def context_window_multi(spark, sf_dir):
     return d.where("a is not null and b is not null").select("doc_id", _window(F.least("a", "b"), F.greatest("a", "b")).alias("snippet"))
 
 
-#: A completion ends before the first of these.
-STOPS = ["\nclass", "\ndef", "\n#", "\nif", "\nprint"]
-
-
 def stop_token_truncate(spark, sf_dir):
-    t = F.coalesce("text", F.lit(""))
-    for stop in [*STOPS, ". "]:
-        t = F.substring_index(t, stop, 1)
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", t.alias("head"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", code.truncated(F.coalesce("text", F.lit(""))).alias("head"))
 
 
 def dedup_lines(spark, sf_dir):
-    """Lines without blank ones, comments and repetitions, in order."""
-    lines = F.filter(F.split("text", "\n"), lambda x: (F.trim(x) != "") & ~F.ltrim(x).startswith("# "))
-    return docs(spark, sf_dir).select("doc_id", F.array_join(F.array_distinct(lines), "\n").alias("text"))
+    """Lines without comments, trimmed; blank ones go, and of the others only repeated assertions."""
+    return docs(spark, sf_dir).select("doc_id", code.unique_assertions(code.without_comments(F.col("text"))).alias("text"))
 
 
 def source_cube(spark, sf_dir):
@@ -181,9 +175,6 @@ tw AS (SELECT doc_id, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY doc_id)
 
 
 _LINES = "l AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM d), h AS (SELECT doc_id, lines, list_position(list_transform(lines, lambda x: contains(x, 'the')), true) AS a, list_position(list_transform(lines, lambda x: contains(x, 'and')), true) AS b FROM l)"
-_HEAD = "coalesce(text, '')"
-for _s in [*STOPS, ". "]:
-    _HEAD = f"string_split({_HEAD}, '{_s}')[1]" if "\n" not in _s else f"string_split({_HEAD}, chr(10) || '{_s[1:]}')[1]"
 
 SQL = {
     "admit_documents": f"WITH {_D} SELECT doc_id, CAST(len(w) AS BIGINT) AS n_tokens FROM w WHERE len(w) >= 100 AND strlen(text) <= 1048576",
@@ -203,10 +194,8 @@ SELECT doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf +
     "train_test_split_80_20": "SELECT doc_id, CASE WHEN CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 4) AS INT) % 10 < 8 THEN 'train' ELSE 'test' END AS side FROM documents",
     "context_window": f"WITH {_D}, {_LINES} SELECT doc_id, array_to_string(lines[greatest(1, a - 2):a + 2], chr(10)) AS snippet FROM h WHERE a > 0",
     "context_window_multi": f"WITH {_D}, {_LINES} SELECT doc_id, array_to_string(lines[greatest(1, least(a, b) - 2):greatest(a, b) + 2], chr(10)) AS snippet FROM h WHERE a > 0 AND b > 0",
-    "stop_token_truncate": f"SELECT conv_id, turn, {_HEAD} AS head FROM conversations",
-    "dedup_lines": f"""WITH {_D}, u AS (SELECT doc_id, generate_subscripts(l, 1) AS k, unnest(l) AS unit FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM d)),
-f AS (SELECT doc_id, unit, min(k) AS k FROM u WHERE trim(unit) <> '' AND NOT starts_with(ltrim(unit), '# ') GROUP BY 1, 2)
-SELECT d.doc_id, coalesce(string_agg(unit, chr(10) ORDER BY k), '') AS text FROM d LEFT JOIN f USING (doc_id) GROUP BY 1""",
+    "stop_token_truncate": f"SELECT conv_id, turn, {_TRUNC("coalesce(text, '')")} AS head FROM conversations",
+    "dedup_lines": f"WITH {_D} SELECT doc_id, {_unique(_NOCOM('text'))} AS text FROM d",
     "source_cube": "SELECT lang, source, count(*) AS n FROM documents GROUP BY CUBE (lang, source)",
 }
 QUERIES = {f.__name__: f for f in (admit_documents, keyword_any_filter, keyword_all_intersect, bm25_topk, tfidf_term_rank, tfidf_doc_vectors_top100, top_terms, cooccurrence_pairs, pair_tfidf, regex_extract_calls, file_to_repo_map, marker_extract, breakdown_units, train_test_split_80_20, context_window, context_window_multi, stop_token_truncate, dedup_lines, source_cube)}

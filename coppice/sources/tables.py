@@ -12,13 +12,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """df as a table in the shared checkpoint folder: its lineage ends there, and a lost executor costs one stage."""
+def folder(spark: SparkSession) -> str:
+    """The shared folder named by spark.checkpoint.dir; only where that is unset (tests), one under the warehouse."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
         sc.setCheckpointDir(where or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
-    path = f"{sc.getCheckpointDir()}/{uuid.uuid4().hex}"
+    return sc.getCheckpointDir()
+
+
+def written(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """df as a table in the shared checkpoint folder: its lineage ends there, and a lost executor costs one stage."""
+    path = f"{folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
