@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .operators import code, datasets, reports, text, trees, vectors
+from .operators import code, datasets, graphs, reports, text, trees, vectors
 from .plans import search
 
-MODULES = (vectors, text, trees, search, reports, code, datasets)
+MODULES = (vectors, text, trees, search, reports, code, datasets, graphs)
 
 
 def entry(spark: SparkSession, sf_dir: str = "/root/testdata/sf0.001") -> DataFrame:

@@ -61,13 +61,14 @@ def split_first(df: DataFrame, *order: str, share: tuple[int, int] = (4, 5)) ->
     return rows.join(F.broadcast(n), F.lit(True)).withColumn("side", F.when(F.col("idx") < F.floor(F.col("_n") * share[0] / share[1]), "train").otherwise("test")).drop("_n")
 
 
-def drawn_with_replacement(df: DataFrame, key: str, k: int, seed: int) -> DataFrame:
+def drawn_with_replacement(df: DataFrame, key: str | list[str], k: int, seed: int) -> DataFrame:
     """draw and key of k draws, each of any row: its number by a digest of seed and draw."""
-    rows = numbered(df.select(key), key)
+    keys = [key] if isinstance(key, str) else key
+    rows = numbered(df.select(*keys), *keys)
     n = rows.agg(F.count("*").alias("_n"))
     h = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("draw").cast("string"))), 1, 12), 16, 10).cast("long")
     draws = df.sparkSession.range(k).withColumnRenamed("id", "draw").join(F.broadcast(n), F.lit(True)).where("_n > 0").select("draw", (h % F.col("_n")).alias("idx"))
-    return draws.join(rows, "idx").select("draw", key)
+    return draws.join(rows, "idx").select("draw", *keys)
 
 
 def drawn(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
