@@ -9,12 +9,14 @@
    reaches the threshold is below MISS. So is a pair whose sets' sizes exclude it.
 4. What survives is verified exactly on the full sets of shingles.
 
-All pairs of a bucket are never listed. First each class is tried with the one
-leader that it shares most bands with: at most one pair a class. Buckets whose
-classes are one component by then are done. In the others only pairs across
-components are compared, in blocks of bounded size, by signature within a task;
-of each class the best survivors are verified, and more of them only if they are
-still in other components, until nothing is left.
+Pairs are never listed. First each class is tried with the one leader that it
+shares most bands with: at most one pair a class. Buckets whose classes are one
+component by then are done. The classes of the others are dealt into cells of
+bounded size, a bucket's own. A task holds one cell, goes through its pairs
+across components by signature, best first, verifies survivors on the full
+sets and joins components as it goes, so a cell sends at most one link less
+than it has components. A bucket of several cells that still holds several
+components then has its smaller components met with all of it, cell by cell.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrow import cut, forget, slices
@@ -36,18 +38,17 @@ from .components import components
 
 HASHES, ROWS = 128, 4
 BATCH, MISS = 32, 1e-6
-#: Further hashes, of which a byte each is kept, for classes in buckets that the first round leaves mixed.
-MORE = 384
-SIDE = 512
+#: Classes, and shingles of classes, on one side of a cell.
+SIDE, HELD = 512, 1 << 20
 _draw = np.random.default_rng(20240229)
-_XOR = _draw.integers(0, 1 << 32, HASHES + MORE, dtype=np.uint32)
-_MUL = _draw.integers(0, 1 << 32, HASHES + MORE, dtype=np.uint32) | np.uint32(1)
+_XOR = _draw.integers(0, 1 << 32, HASHES, dtype=np.uint32)
+_MUL = _draw.integers(0, 1 << 32, HASHES, dtype=np.uint32) | np.uint32(1)
 _FOLD = _draw.integers(0, 1 << 63, ROWS, dtype=np.uint64) | np.uint64(1)
 
 
 class _Words(dict):
     def __missing__(self, w: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 150_000:
             self.clear()
         self[w] = h = xxhash.xxh3_64_intdigest(w)
         return h
@@ -112,33 +113,6 @@ def surviving(a: np.ndarray, b: np.ndarray, t: float) -> tuple[np.ndarray, np.nd
     return left, got[left]
 
 
-def lengthened(texts: DataFrame, k: int) -> DataFrame:
-    """id, tail: the low bytes of MORE further minima of each text; null for an id with several texts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch):
-                tails = [signature(shingles(t, k), HASHES, HASHES + MORE).astype(np.uint8).tobytes() for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(tails, pa.binary())], ["id", "tail"])
-
-    made = texts.select("id", "text").mapInArrow(run, "id long, tail binary")
-    return made.groupBy("id").agg(F.when(F.count("*") == 1, F.first("tail")).alias("tail"))
-
-
-def outlasting(one: bytes | None, others: list[bytes | None], got: np.ndarray, t: float) -> np.ndarray:
-    """Of candidates with `got` matches so far, those that the tails don't rule out either (equal bytes are at least as likely as equal minima)."""
-    if one is None or not others:
-        return np.arange(len(others))
-    known = np.array([x is not None for x in others])
-    mine = np.frombuffer(one, np.uint8)
-    theirs = np.frombuffer(b"".join(x or bytes(MORE) for x in others), np.uint8).reshape(-1, MORE)
-    left, got = np.arange(len(others)), got.copy()
-    for k in range(0, MORE, HASHES):
-        got[left] += (theirs[left, k : k + HASHES] == mine[k : k + HASHES]).sum(axis=1)
-        left = left[(got[left] >= least_matches(HASHES + k + HASHES, t)) | ~known[left]]
-    return left
-
-
 def sketch(docs: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,9 +134,9 @@ def banded(classes: DataFrame) -> DataFrame:
             for part in slices(batch, 2048):
                 sig = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint32).reshape(-1, HASHES)
                 b = bands(sig)
-                yield pa.RecordBatch.from_arrays([pa.array(b.ravel()), pa.array(np.repeat(part.column(0).to_numpy(), b.shape[1]))], ["band", "id"])
+                yield pa.RecordBatch.from_arrays([pa.array(b.ravel()), *(pa.array(np.repeat(part.column(c).to_numpy(), b.shape[1])) for c in (0, 2))], ["band", "id", "size"])
 
-    return classes.select("id", "sig").mapInArrow(run, "band long, id long")
+    return classes.select("id", "sig", F.col("n").cast("int")).mapInArrow(run, "band long, id long, size int")
 
 
 def _similar(pairs: DataFrame, t: float) -> DataFrame:
@@ -206,54 +180,114 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
     return pairs.select("u", "v").distinct().join(side("u"), "u").join(side("v"), "v").select("u", "v", "text_u", "text_v").mapInArrow(run, "u long, v long")
 
 
-def across(buckets: DataFrame, t: float, best: int) -> DataFrame:
-    """Candidates across components in blocks: rows (band, block, part, minor, id, root, n, sig, tail, both), dealt and sorted by the first four.
+class Cell:
+    """Classes that a task holds together. side: 1 is compared with 0, 2 with all; of two that are both asked (both), the larger id asks."""
+
+    def __init__(self, band: int, rows: list[dict], t: float):
+        self.band, self.t = band, t
+        self.id, self.root, self.n, self.side = (np.array([r[c] for r in rows], np.int64) for c in ("id", "root", "n", "side"))
+        self.both = np.array([r["both"] for r in rows], bool)
+        self.sig = np.frombuffer(b"".join(r["sig"] for r in rows), np.uint32).reshape(-1, HASHES)
+
+    def asking(self) -> list[int]:
+        return np.flatnonzero(self.side > 0).tolist()
+
+    def survivors(self, k: int) -> np.ndarray:
+        """Rows that the k-th may be linked with across components, most matches first. A pair is looked at in the first band that it shares only."""
+        at = np.flatnonzero((self.root != self.root[k]) & (self.side != 1) & (~self.both | (self.id < self.id[k])) & (np.minimum(self.n, self.n[k]) >= self.t * np.maximum(self.n, self.n[k]) - 1e-6))
+        j = int(np.flatnonzero(bands(self.sig[k : k + 1])[0] == self.band)[0])
+        if j and len(at):
+            before = (self.sig[at, : j * ROWS] == self.sig[k, : j * ROWS]).reshape(len(at), j, ROWS)
+            at = at[~before.all(axis=2).any(axis=1)]
+        keep, got = surviving(np.broadcast_to(self.sig[k], (len(at), HASHES)), self.sig[at], self.t)
+        return at[keep][np.lexsort((self.id[at[keep]], -got))]
+
+    def concerned(self) -> set[int]:
+        """Ids of pairs that survive."""
+        out: set[int] = set()
+        for k in self.asking():
+            at = self.survivors(k)
+            if len(at):
+                out.add(int(self.id[k]))
+                out.update(self.id[at].tolist())
+        return out
 
-    Returns u, v, got (matches) of the `best` candidates of u in each block, and more: whether others of u were left out there.
-    A pair is looked at in the first band that it shares only, and once if both of its ends are asked there (both).
-    """
+    def links(self, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+        """Pairs of components (by root) that exact links join; none that others of the cell join already."""
+        label: dict[int, int] = {}
+
+        def find(r: int) -> int:
+            while label.get(r, r) != r:
+                label[r] = r = label.get(label[r], label[r])
+            return r
 
-    def pairs_of(band: int, minor: list, other: list) -> list[tuple]:
-        a = np.frombuffer(b"".join(x[3] for x in minor), np.uint32).reshape(-1, HASHES)
-        b = np.frombuffer(b"".join(x[3] for x in other), np.uint32).reshape(-1, HASHES)
-        ids, roots, sizes, both = (np.array([x[c] for x in other]) for c in (0, 1, 2, 5))
-        j = int(np.flatnonzero(bands(a[:1])[0] == band)[0])
         out = []
-        for k, (u, ru, n, _, tail, _) in enumerate(minor):
-            at = np.flatnonzero((roots != ru) & (~both | (ids < u)) & (np.minimum(sizes, n) >= t * np.maximum(sizes, n) - 1e-6))
-            if j and len(at):
-                before = (b[at, : j * ROWS] == a[k, : j * ROWS]).reshape(len(at), j, ROWS)
-                at = at[~before.all(axis=2).any(axis=1)]
-            keep, got = surviving(np.broadcast_to(a[k], (len(at), HASHES)), b[at], t)
-            keep = keep[last := outlasting(tail, [other[x][4] for x in at[keep]], got, t)]
-            at, got = at[keep], got[last]
-            order = np.lexsort((ids[at], -got))[:best]
-            out += [(u, int(ids[at[x]]), int(got[x]), len(at) > best) for x in order.tolist()]
+        for k in self.asking():
+            at = self.survivors(k)
+            first = True
+            while len(at):
+                own = find(int(self.root[k]))
+                of = np.array([find(r) for r in self.root[at].tolist()])
+                at, of = at[of != own], of[of != own]
+                # The best of each component, then all that is left of components that aren't joined by then.
+                some = np.sort(np.unique(of, return_index=True)[1]) if first else np.arange(len(at))
+                for x in np.flatnonzero(linked(sets[k], [sets[y] for y in at[some].tolist()], percent)).tolist():
+                    r = find(int(self.root[at[some[x]]]))
+                    if r != find(own):
+                        out.append((int(self.root[k]), int(self.root[at[some[x]]])))
+                        label[r] = find(own)
+                at, first = np.delete(at, some), False
         return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, minor, other = None, [], []
 
-        def made(rows: list[tuple]) -> pa.RecordBatch:
-            cols = list(zip(*rows, strict=True)) or [[]] * 4
-            return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.bool_())], ["u", "v", "got", "more"])
+def linked(one: np.ndarray, others: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which of the sets (sorted, none empty) have 100 * intersection >= percent * union with the one."""
+    if not others:
+        return np.zeros(0, bool)
+    sizes = np.array([len(x) for x in others])
+    flat = np.concatenate(others)
+    shared = np.add.reduceat(one[np.minimum(np.searchsorted(one, flat), len(one) - 1)] == flat, np.cumsum(sizes) - sizes, dtype=np.int64)
+    return 100 * shared >= percent * (len(one) + sizes - shared)
+
 
+def _cells(dealt: DataFrame, names: list[str], made, schema: str) -> DataFrame:
+    """made(band, block, part, rows) -> record batch or None for each cell, whose rows come together to one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows = None, []
         for batch in batches:
             for part in slices(batch, 2048):
-                rows: list[tuple] = []
-                for band, block, piece, is_minor, i, root, n, sig, tail, both in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                    if (band, block, piece) != now:
-                        if minor and other:
-                            rows += pairs_of(now[0], minor, other)
-                        now, minor, other = (band, block, piece), [], []
-                    (minor if is_minor else other).append((i, root, n, sig, tail, both))
-                if rows:
-                    yield made(rows)
-        if minor and other:
-            yield made(pairs_of(now[0], minor, other))
-
-    dealt = buckets.select("band", "block", "part", "minor", "id", "root", "n", "sig", "tail", "both").repartition("band", "block", "part").sortWithinPartitions("band", "block", "part", F.desc("minor"))
-    return dealt.mapInArrow(run, "u long, v long, got long, more boolean")
+                for r in part.to_pylist():
+                    if (key := (r["band"], r["block"], r["part"])) != now:
+                        if rows and (out := made(*now, rows)) is not None:
+                            yield out
+                        now, rows = key, []
+                    rows.append(r)
+        if rows and (out := made(*now, rows)) is not None:
+            yield out
+
+    return dealt.select("band", "block", "part", *names).repartition("band", "block", "part").sortWithinPartitions("band", "block", "part").mapInArrow(run, schema)
+
+
+def across(spark: SparkSession, members: DataFrame, classes: DataFrame, texts: DataFrame, t: float, k: int, percent: int) -> DataFrame:
+    """Links between components (u, v: their roots) within cells. members: band, block, part, side, both, id, root. Only the texts that some pair still needs after its signatures move."""
+
+    def first(band, block, part, rows):
+        ids = sorted(Cell(band, rows, t).concerned())
+        return pa.RecordBatch.from_arrays([pa.array([x], y) for x, y in ((band, pa.int64()), (block, pa.int32()), (part, pa.int32()), (ids, pa.list_(pa.int64())))], ["band", "block", "part", "ids"]) if ids else None
+
+    def then(band, block, part, rows):
+        cell = Cell(band, rows, t)
+        found = cell.links([shingles(r["text"], k) for r in rows], percent)
+        return pa.RecordBatch.from_arrays([pa.array([x[c] for x in found], pa.int64()) for c in (0, 1)], ["u", "v"]) if found else None
+
+    names = ["side", "both", "id", "root", "n", "sig"]
+    whole = cut(spark, members.join(classes.select("id", "n", "sig"), "id"))
+    asked = cut(spark, _cells(whole, names, first, "band long, block int, part int, ids array<long>").select("band", "block", "part", F.explode("ids").alias("id")))
+    held = whole.join(asked, ["band", "block", "part", "id"]).join(texts, "id")
+    found = cut(spark, _cells(held, [*names, "text"], then, "u long, v long").distinct())
+    forget(spark, whole, asked)
+    return found
 
 
 def duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -280,46 +314,42 @@ def duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int =
     # A bucket's leader is the class whose buckets are largest together: of a text and its variants, the text that they vary.
     weight = sized.groupBy("id").agg(F.sum("n").alias("weight"))
     leads = sized.select("band", "id").join(weight, "id").groupBy("band").agg(F.max_by("id", F.struct("weight", -F.col("id"))).alias("lead"))
-    buckets = cut(spark, sized.select("band", "id").join(leads, "band"))
+    buckets = cut(spark, sized.select("band", "id", "size").join(leads, "band"))
     forget(spark, sized)
     asked = buckets.select("id").distinct()
     # The texts and signatures that may be compared.
-    texts = cut(spark, docs.where("doc_id is not null").withColumnRenamed("doc_id", "id").join(asked.hint("shuffle_hash"), "id").distinct())
+    texts = cut(spark, docs.where("doc_id is not null").withColumnRenamed("doc_id", "id").join(asked, "id").distinct())
     sigs = classes.select("id", "sig")
     one = buckets.where("id <> lead").groupBy("id", "lead").count().groupBy("id").agg(F.max_by("lead", F.struct("count", -F.col("lead"))).alias("lead"))
     first = one.select(F.col("lead").alias("u"), F.col("id").alias("v"))
     first = first.join(sigs.toDF("u", "sig_u"), "u").join(sigs.toDF("v", "sig_v"), "v")
     links = cut(spark, links.unionByName(verified(_similar(first, t), texts, k, percent)))
-    best, tried, long = 8, first.select("u", "v"), None
     roots = components(spark, links)
-    while True:
-        here = buckets.select("band", "id").join(roots, "id", "left").select("band", "id", F.coalesce("root", "id").alias("root"))
-        parts = here.groupBy("band", "root").agg(F.count("*").alias("n"))
-        mixed = parts.groupBy("band").agg(F.sum("n").alias("n"), F.count("*").alias("roots"), F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("most")).where("roots > 1")
-        sides = here.join(mixed, "band").withColumn("blocks", F.ceil(F.col("n") / SIDE).cast("int")).withColumn("pieces", F.ceil((F.col("n") - F.col("most")) / SIDE).cast("int"))
-        spread = lambda n: F.pmod(F.xxhash64("id", F.lit(7)), F.col(n)).cast("int")
-        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-        minors = sides.where("root <> main").select("band", every("blocks").alias("block"), spread("pieces").alias("part"), F.lit(True).alias("minor"), "id", "root", F.lit(True).alias("both"))
-        others = sides.select("band", spread("blocks").alias("block"), every("pieces").alias("part"), F.lit(False).alias("minor"), "id", "root", (F.col("root") != F.col("main")).alias("both"))
-        if long is None:
-            long = cut(spark, lengthened(texts.join(sides.select("id").distinct().hint("shuffle_hash"), "id"), k).join(classes.select("id", "sig", "n"), "id"))
-        found = across(minors.unionByName(others).join(long, "id"), t, best).groupBy("u", "v").agg(F.max("got").alias("got"), F.max("more").alias("more"))
-        found = cut(spark, found.withColumn("at", F.row_number().over(Window.partitionBy("u").orderBy(F.desc("got"), "v"))))
-        if found.isEmpty():
-            break
-        asked_now = found.where(F.col("at") <= best).select("u", "v").join(tried, ["u", "v"], "left_anti")
-        new = cut(spark, verified(asked_now, texts, k, percent))
+    spread = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    both = F.lit(True).alias("both")
+    for turn in range(2):
+        here = buckets.select("band", "id", "size").join(roots, "id", "left").select("band", "id", "size", F.coalesce("root", "id").alias("root"))
+        parts = here.groupBy("band", "root").agg(F.count("*").alias("n"), F.sum("size").alias("held"))
+        mixed = parts.groupBy("band").agg(F.sum("n").alias("n"), F.sum("held").alias("held"), F.count("*").alias("roots"), F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("most")).where("roots > 1")
+        cells = lambda n: F.ceil(F.greatest(F.col(n) / SIDE, F.col("held") / HELD)).cast("int")
+        mixed = mixed.withColumn("blocks", cells("n")).withColumn("rest", F.col("n") - F.col("most")).withColumn("pieces", cells("rest")).drop("n", "held", "most", "rest")
+        if turn == 0:  # each bucket's cells by themselves
+            sides = here.join(mixed, "band")
+            members = sides.select("band", spread("blocks", 7).alias("block"), F.lit(0).alias("part"), F.lit(2).alias("side"), both, "id", "root")
+        else:  # what is left: smaller components with all of their bucket
+            mixed = cut(spark, mixed.where("blocks > 1"))
+            if mixed.isEmpty():
+                break
+            sides = here.join(mixed, "band")
+            minors = sides.where("root <> main").select("band", every("blocks").alias("block"), spread("pieces", 11).alias("part"), F.lit(1).alias("side"), both, "id", "root")
+            others = sides.select("band", spread("blocks", 7).alias("block"), every("pieces").alias("part"), F.lit(0).alias("side"), (F.col("root") != F.col("main")).alias("both"), "id", "root")
+            members = minors.unionByName(others)
+        new = across(spark, members, classes, texts, t, k, percent)
         if not new.isEmpty():
-            links, before = cut(spark, links.unionByName(new).distinct()), links
-            roots = components(spark, links)
-            forget(spark, before)
-        # What was left out is looked at again, if it is still in another component.
-        again = not found.where(F.col("more") | (F.col("at") > best)).isEmpty()
-        tried = cut(spark, found.where(F.col("at") <= best).select("u", "v").unionByName(tried).distinct()) if again else tried
-        forget(spark, found, new)
-        if not again:
-            break
-        best *= 512
+            joined = components(spark, new).select(F.col("id").alias("root"), F.col("root").alias("to"))
+            known = roots.unionByName(joined.select(F.col("root").alias("id"), "root").join(roots.select("id"), "id", "left_anti"))
+            roots = cut(spark, known.join(joined, "root", "left").select("id", F.coalesce("to", "root").alias("root")))
     smallest = roots.join(roots.groupBy("root").agg(F.min("id").alias("component_id")), "root").select("id", "component_id")
     of = least.join(smallest, "id", "left").select("key", F.coalesce("component_id", "id").alias("component_id"))
     out = rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("key")).alias("key")).join(of, "key", "left")
