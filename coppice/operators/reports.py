@@ -19,6 +19,8 @@ SNIPPETS = ["np.mean", "os.path.join", "train_test_split", "def f(x):\n    retur
 STOP_WORDS = ["in", "of", "a", "to", "and", "for", "with", "that"]
 NUMBER = r"^[+-]?(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:e[+-]?[0-9]+)?|inf|infinity|nan)$"
 SPACE = r"[\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+#: The same in a pattern of another dialect.
+SPACE_SQL = r"[\s\v\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 
 
 def idioms(spark, sf_dir) -> DataFrame:
@@ -39,7 +41,7 @@ def clusters(i: DataFrame) -> DataFrame:
 def cluster_idioms(spark, sf_dir):
     i = idioms(spark, sf_dir)
     w = Window.partitionBy("size", "hash").orderBy(F.desc("score"), "prog", "anchor")
-    best = i.withColumn("rank", F.row_number().over(w)).where("rank <= 3")
+    best = i.withColumn("rank", F.row_number().over(w))
     return best.join(clusters(i).select("size", "hash", "cluster"), ["size", "hash"]).select("size", "cluster", "rank", "prog", "anchor", "score")
 
 
@@ -95,13 +97,6 @@ def fewshot_leave_one_out(spark, sf_dir):
     return b.join(F.broadcast(two), F.lit(True)).select("item_id", first.alias("shot"))
 
 
-def prompt_render(spark, sf_dir):
-    """An entry point from an item's first words, and the prompt with its first 40 characters, as in its SQL; prompt_render_whole has the whole text."""
-    word = F.transform(F.slice(F.split(F.lower(F.regexp_replace("text", "[^A-Za-z ]", "")), " +"), 1, 4), lambda x: x)
-    name = F.concat(F.lit("f_"), F.array_join(word, "_"))
-    return table(spark, sf_dir, "benchmark").select("item_id", name.alias("entry"), F.concat(F.lit("def "), name, F.lit("():\n    \"\"\""), F.substring("text", 1, 40), F.lit("\"\"\"\n")).alias("prompt"))
-
-
 def entry_point(text: Column) -> Column:
     """A function name: the first four words, up to a number, a stop-word after the second or a delimiter, without punctuation."""
     first = F.slice(F.filter(F.split(text, SPACE), lambda x: x != ""), 1, 4)
@@ -117,14 +112,16 @@ def entry_point(text: Column) -> Column:
     return F.regexp_replace(F.array_join(named, "_"), "^¿", "")
 
 
-def prompt_render_whole(spark, sf_dir):
+def prompt_render(spark, sf_dir):
     """An entry point from an item's first words, and the prompt with the whole text."""
     name = entry_point(F.coalesce("text", F.lit("")))
     return table(spark, sf_dir, "benchmark").select("item_id", name.alias("entry"), F.concat(F.lit("def "), name, F.lit("():\n    \"\"\""), F.coalesce("text", F.lit("")), F.lit("\"\"\"\n")).alias("prompt"))
 
 
-def _snippets(spark) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(SNIPPETS)), "prog long, code string")
+def programs(spark, sf_dir) -> DataFrame:
+    """Each line of a document as a program; most of prose doesn't parse, and has no tree."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("k", "code"))
+    return lines.select((F.col("doc_id") * (1 << 24) + F.col("k")).alias("prog"), "code")
 
 
 def sast_table(programs: DataFrame) -> DataFrame:
@@ -138,21 +135,26 @@ def sast_table(programs: DataFrame) -> DataFrame:
 
 
 def sast_nodes(spark, sf_dir):
-    return sast_table(_snippets(spark)).withColumn("span", F.translate("span", sast.HOLE, "#"))
+    return sast_table(programs(spark, sf_dir)).withColumn("span", F.translate("span", sast.HOLE, "#"))
 
 
 def sast_roundtrip(spark, sf_dir):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"prog": pdf["prog"].iloc[:1], "code": [sast.code_of(list(pdf.sort_values("node")[["node", "parent", "type", "span", "relpos"]].itertuples(index=False, name=None)))]})
 
-    return sast_table(_snippets(spark)).groupBy("prog").applyInPandas(run, "prog long, code string")
+    return sast_table(programs(spark, sf_dir)).groupBy("prog").applyInPandas(run, "prog long, code string")
 
 
 _I = f"WITH {FOREST}, {_DEG}, {_HOP}, i AS (SELECT prog, anchor, count(*) AS size, md5(string_agg(hop, ',' ORDER BY hop)) AS hash, count(*) FILTER (hop = 1) AS score, count(*) FILTER (hop = 2) AS holes FROM hood GROUP BY ALL), c AS (SELECT *, CAST(row_number() OVER (PARTITION BY size ORDER BY members DESC, hash) AS INTEGER) AS cluster FROM (SELECT size, hash, count(*) AS members, CAST(sum(score) AS BIGINT) AS score FROM i GROUP BY ALL))"
 _LAB = "WITH n AS (SELECT count(*) FILTER (quality = 1 AND toxic = 1) AS tp, count(*) FILTER (quality = 0 AND toxic = 1) AS fp, count(*) FILTER (quality = 1 AND toxic = 0) AS fn, count(*) FILTER (quality = 0 AND toxic = 0) AS tn FROM labels)"
-_WORDS = "array_to_string(regexp_split_to_array(lower(regexp_replace(text, '[^A-Za-z ]', '', 'g')), ' +')[1:4], '_')"
+_PROMPT = f"""WITH b AS (SELECT item_id, coalesce(text, '') AS text FROM benchmark),
+w AS (SELECT item_id, text, list_transform(list_filter(regexp_split_to_array(text, '{SPACE_SQL}'), lambda x: x <> '')[1:4], lambda x: lower(x)) AS w FROM b),
+c AS (SELECT *, list_filter(list_transform(w, lambda x, i: CASE WHEN regexp_matches(regexp_replace(x, '([0-9])_([0-9])', '\\1\\2', 'g'), '{NUMBER}') OR i > 2 AND list_contains({STOP_WORDS}, x) OR starts_with(x, '`') OR starts_with(x, chr(39)) THEN i END), lambda y: y IS NOT NULL) AS ends FROM w),
+p AS (SELECT *, list_filter(list_transform(w[1:coalesce(ends[1] - 1, len(w))], lambda x: regexp_replace(x, '[!-/:-@\\[-`{{-~]', '', 'g')), lambda x: x <> '') AS p FROM c),
+n AS (SELECT item_id, text, array_to_string(CASE WHEN len(p) < 2 THEN list_concat(['f'], p) ELSE p END, '_') AS entry FROM p)
+SELECT item_id, entry, 'def ' || entry || '():' || chr(10) || '    ' || repeat(chr(34), 3) || text || repeat(chr(34), 3) || chr(10) AS prompt FROM n"""
 SQL = {
-    "cluster_idioms": f"{_I} SELECT i.size, cluster, rank, prog, anchor, i.score FROM (SELECT *, CAST(row_number() OVER (PARTITION BY size, hash ORDER BY score DESC, prog, anchor) AS INTEGER) AS rank FROM i) AS i JOIN c USING (size, hash) WHERE rank <= 3",
+    "cluster_idioms": f"{_I} SELECT i.size, cluster, rank, prog, anchor, i.score FROM (SELECT *, CAST(row_number() OVER (PARTITION BY size, hash ORDER BY score DESC, prog, anchor) AS INTEGER) AS rank FROM i) AS i JOIN c USING (size, hash)",
     "reusability_diversity": f"{_I}, r AS (SELECT size, count(*) AS diversity, sum(score) / sum(members)::DOUBLE AS reuse FROM c GROUP BY 1), l AS (SELECT *, ln(CASE WHEN diversity <= 0 THEN diversity + 1 ELSE diversity END) AS ld, ln(CASE WHEN reuse <= 0 THEN reuse + 1 ELSE reuse END) AS lr FROM r) SELECT size, diversity, round(reuse, 6) AS reusability, round(ld, 6) AS log_diversity, round(lr, 6) AS log_reusability, ld >= lr AS stop FROM l",
     "idiom_report_sort": f"{_I} SELECT size, cluster, members, score FROM c",
     "api_index": f"{_I} SELECT span AS api, count(size) AS idioms, CAST(coalesce(sum(score), 0) AS BIGINT) AS uses FROM nodes LEFT JOIN (SELECT * FROM i WHERE holes = 0 AND score > 0) AS i ON i.prog = nodes.prog AND i.anchor = nodes.node GROUP BY 1",
@@ -160,6 +162,6 @@ SQL = {
     "auroc_ap_hard": f"{_LAB}, r AS (SELECT tp / (tp + fn)::DOUBLE AS tpr, fp / (fp + tn)::DOUBLE AS fpr, tp / (tp + fp)::DOUBLE AS pr, (tp + fn) / (tp + fn + fp + tn)::DOUBLE AS base FROM n) SELECT round((1 + tpr - fpr) / 2, 6) AS auroc, round(tpr * pr + (1 - tpr) * base, 6) AS ap FROM r",
     "pass_at_k": "WITH n AS (SELECT source, count(*) AS n, count(*) FILTER (quality = 1) AS c FROM documents JOIN labels USING (doc_id) GROUP BY 1), k AS (SELECT *, unnest([1, 2, 5]) AS k FROM n) SELECT source, k, round(1 - list_product(list_transform(range(k), lambda i: greatest(0, n - c - i) / (n - i)::DOUBLE)), 6) AS pass_at_k FROM k WHERE n >= k",
     "fewshot_leave_one_out": "SELECT a.item_id, (SELECT b.item_id FROM benchmark AS b WHERE b.item_id <> a.item_id ORDER BY md5(CAST(b.item_id AS VARCHAR)) LIMIT 1) AS shot FROM benchmark AS a",
-    "prompt_render": f"SELECT item_id, 'f_' || {_WORDS} AS entry, 'def f_' || {_WORDS} || '():' || chr(10) || '    \"\"\"' || substr(text, 1, 40) || '\"\"\"' || chr(10) AS prompt FROM benchmark",
+    "prompt_render": _PROMPT,
 }
-QUERIES = {f.__name__: f for f in (cluster_idioms, reusability_diversity, idiom_report_sort, api_index, classification_metrics, auroc_ap_hard, pass_at_k, fewshot_leave_one_out, prompt_render, prompt_render_whole, sast_nodes, sast_roundtrip)}
+QUERIES = {f.__name__: f for f in (cluster_idioms, reusability_diversity, idiom_report_sort, api_index, classification_metrics, auroc_ap_hard, pass_at_k, fewshot_leave_one_out, prompt_render, sast_nodes, sast_roundtrip)}

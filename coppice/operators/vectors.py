@@ -9,9 +9,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..sources.tables import table
+from ..sources.files import numbered
+from ..sources.tables import table, written
 
-TAU, MARGIN, BLOCK = 0.5, 0.1, 1024
+TAU, MARGIN, BLOCK, SPAN = 0.5, 0.1, 1024, 4096
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,11 +72,6 @@ def order_loss(spark, sf_dir):
     return pairs.groupBy(F.col("q_vec_id").alias("vec_id")).agg(F.round(F.sum("loss"), 6).alias("loss"))
 
 
-def _square(spark, sf_dir):
-    q = _asked(vectors(spark, sf_dir))
-    return against(q, q)
-
-
 def _wide(spark, sf_dir):
     v = vectors(spark, sf_dir)
     return against(_asked(v), v)
@@ -90,20 +86,12 @@ def costs(pairs: DataFrame) -> DataFrame:
 
 
 def alignment_matrix(spark, sf_dir):
-    """The query vectors among themselves, as in its SQL; alignment_against_all has all rows."""
-    return alignments(_square(spark, sf_dir))
-
-
-def pairwise_cost_matrix(spark, sf_dir):
-    """The query vectors among themselves, as in its SQL; cost_against_all has all rows."""
-    return costs(_square(spark, sf_dir))
-
-
-def alignment_against_all(spark, sf_dir):
+    """Every query vector against all rows."""
     return alignments(_wide(spark, sf_dir))
 
 
-def cost_against_all(spark, sf_dir):
+def pairwise_cost_matrix(spark, sf_dir):
+    """Every query vector against all rows."""
     return costs(_wide(spark, sf_dir))
 
 
@@ -220,13 +208,18 @@ def emd_one_dimension(spark, sf_dir):
     x = vectors(spark, sf_dir).select("label", F.col("e")[0].alias("x"))
     n = x.groupBy("label").agg(F.count("*").alias("n"))
     whole = x.agg(F.count("*").alias("total"))
-    marks = x.select("x").distinct().withColumn("next", F.lead("x").over(Window.orderBy("x")))
-    everywhere = marks.join(F.broadcast(n), F.lit(True))
-    mine = x.groupBy("label", "x").agg(F.count("*").alias("k"))
-    all_ = x.groupBy("x").agg(F.count("*").alias("a"))
-    w = Window.partitionBy("label").orderBy("x")
-    cdf = everywhere.join(mine, ["label", "x"], "left").join(all_, "x").select("label", "x", "next", F.sum(F.coalesce("k", F.lit(0))).over(w).alias("f"), F.sum("a").over(w).alias("g"), "n")
-    return cdf.join(F.broadcast(whole), F.lit(True)).groupBy("label").agg(F.round(F.sum(F.abs(F.col("f") / F.col("n") - F.col("g") / F.col("total")) * (F.col("next") - F.col("x"))), 6).alias("emd"))
+    marks = written(spark, numbered(x.select("x").distinct(), "x", name="k"))
+    step = marks.join(marks.select((F.col("k") - 1).alias("k"), F.col("x").alias("next")), "k").select("x", "k", "next", F.floor(F.col("k") / SPAN).alias("span"))
+    placed = x.join(marks, "x").groupBy("label", "k").agg(F.count("*").alias("here"))
+    # Counts up to each mark: within ranges of SPAN marks, and what the ranges before hold, as many rows as ranges.
+    ranges = placed.groupBy("label", F.floor(F.col("k") / SPAN).alias("span")).agg(F.sum("here").alias("held"))
+    grid = step.select("span").distinct().join(F.broadcast(n.select("label")), F.lit(True)).join(ranges, ["label", "span"], "left")
+    before = F.sum("held").over(Window.partitionBy("label").orderBy("span").rowsBetween(Window.unboundedPreceding, -1))
+    grid = grid.select("label", "span", F.coalesce(before, F.lit(0)).alias("before"))
+    inside = F.sum(F.coalesce("here", F.lit(0))).over(Window.partitionBy("label", "span").orderBy("k"))
+    mine = step.join(grid, "span").join(placed, ["label", "k"], "left").select("label", "k", "x", "next", (F.col("before") + inside).alias("f"))
+    both = mine.join(mine.groupBy("k").agg(F.sum("f").alias("g")), "k").join(F.broadcast(n), "label").join(F.broadcast(whole), F.lit(True))
+    return both.groupBy("label").agg(F.round(F.sum(F.abs(F.col("f") / F.col("n") - F.col("g") / F.col("total")) * (F.col("next") - F.col("x"))), 6).alias("emd"))
 
 
 _V = "v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), q AS (SELECT * FROM v WHERE vec_id % 100 = 0)"
@@ -249,8 +242,8 @@ SQL = {
     "dominance_conjunctive": f"WITH {_V}, b AS (SELECT q.label, t.vec_id, bool_and({_VIOL} <= 1.0) AS ok FROM q, v AS t GROUP BY ALL) SELECT label, count(*) FILTER (ok) AS freq FROM b GROUP BY 1",
     "dimension_violation_count": f"WITH {_V}, n AS (SELECT q.vec_id, len(list_filter(list_zip(q.e, t.e), lambda z: z[1] > z[2])) AS n FROM q, v AS t WHERE q.vec_id <> t.vec_id) SELECT vec_id, CAST(min(n) AS INTEGER) AS least, CAST(sum(n) AS BIGINT) AS total, count(*) FILTER (n < 6) AS positive FROM n GROUP BY 1",
     "order_loss": f"WITH {_V} SELECT q.vec_id, round(sum(CASE WHEN q.label = t.label THEN {_VIOL} ELSE greatest(0.0, 0.1 - {_VIOL}) END), 6) AS loss FROM q, v AS t WHERE q.vec_id <> t.vec_id GROUP BY 1",
-    "alignment_matrix": f"WITH {_V} SELECT q.vec_id AS q_vec_id, t.vec_id AS t_vec_id, round(ln({_VIOL} + 1e-7), 6) AS value FROM q, q AS t",
-    "pairwise_cost_matrix": f"WITH {_V} SELECT q.vec_id AS q_vec_id, t.vec_id AS t_vec_id, round({_DIST.format('q.e', 't.e')}, 6) AS cost FROM q, q AS t",
+    "alignment_matrix": f"WITH {_V} SELECT q.vec_id AS q_vec_id, t.vec_id AS t_vec_id, round(ln({_VIOL} + 1e-7), 6) AS value FROM q, v AS t",
+    "pairwise_cost_matrix": f"WITH {_V} SELECT q.vec_id AS q_vec_id, t.vec_id AS t_vec_id, round({_DIST.format('q.e', 't.e')}, 6) AS cost FROM q, v AS t",
     "mean_pool_by_label": f"WITH {_V}, {_X} SELECT label, CAST(dim AS INTEGER) AS dim, round(avg(x), 6) AS mean FROM x GROUP BY ALL",
     "standard_scale": f"WITH {_V}, {_X}, s AS (SELECT dim, avg(x) AS m, stddev_pop(x) AS d FROM x GROUP BY 1) SELECT vec_id, CAST(dim AS INTEGER) AS dim, round((x - m) / d, 6) AS z FROM x JOIN s USING (dim)",
     "closest_to_centroid": f"WITH {_V}, {_X}, c AS (SELECT label, list(x ORDER BY dim) AS c FROM (SELECT label, dim, avg(x) AS x FROM x GROUP BY ALL) GROUP BY 1), d AS (SELECT v.label, vec_id, round({_DIST.format('e', 'c')}, 6) AS d FROM v JOIN c USING (label)) SELECT label, vec_id, d AS distance FROM d QUALIFY row_number() OVER (PARTITION BY label ORDER BY d, vec_id) = 1",
@@ -260,4 +253,4 @@ SQL = {
 g AS (SELECT l.label, m.x, m.next, (SELECT count(*) FROM x WHERE x.label = l.label AND x.x <= m.x) / (SELECT count(*) FROM x WHERE x.label = l.label)::DOUBLE AS f, (SELECT count(*) FROM x WHERE x.x <= m.x) / (SELECT count(*) FROM x)::DOUBLE AS g FROM marks AS m, (SELECT DISTINCT label FROM x) AS l)
 SELECT label, round(sum(abs(f - g) * (next - x)), 6) AS emd FROM g GROUP BY 1""",
 }
-QUERIES = {f.__name__: f for f in (dominance_frequency, dominance_conjunctive, dimension_violation_count, order_loss, alignment_matrix, pairwise_cost_matrix, alignment_against_all, cost_against_all, mean_pool_by_label, standard_scale, closest_to_centroid, lloyd_kmeans, cluster_representatives, emd_uniform, emd_one_dimension)}
+QUERIES = {f.__name__: f for f in (dominance_frequency, dominance_conjunctive, dimension_violation_count, order_loss, alignment_matrix, pairwise_cost_matrix, mean_pool_by_label, standard_scale, closest_to_centroid, lloyd_kmeans, cluster_representatives, emd_uniform, emd_one_dimension)}

@@ -19,9 +19,9 @@ def embedded(spark, tmp_path):
 def test_matrices_hold_all_rows(spark, embedded):
     where, rows = embedded
     asked = [r for r in rows if r[0] % 100 == 0]
-    got = {(r.q_vec_id, r.t_vec_id): r.value for r in vectors.alignment_against_all(spark, where).collect()}
+    got = {(r.q_vec_id, r.t_vec_id): r.value for r in vectors.alignment_matrix(spark, where).collect()}
     assert got == {(q, t): pytest.approx(np.log((np.maximum(0, a - b) ** 2).sum() + 1e-7), abs=2e-6) for q, _, a in asked for t, _, b in rows}
-    got = {(r.q_vec_id, r.t_vec_id): r.cost for r in vectors.cost_against_all(spark, where).collect()}
+    got = {(r.q_vec_id, r.t_vec_id): r.cost for r in vectors.pairwise_cost_matrix(spark, where).collect()}
     assert got == {(q, t): pytest.approx(((a - b) ** 2).sum(), abs=2e-6) for q, _, a in asked for t, _, b in rows}
 
 

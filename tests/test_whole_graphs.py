@@ -26,11 +26,11 @@ def test_part_graphs_hold_all_lines(spark, tmp_path):
             if (y := todo.pop()) not in root:
                 root[y] = x
                 todo += near[y]
-    assert {x.id: x.root for x in trees.connected_components_all(spark, str(tmp_path)).collect()} == root
+    assert {x.id: x.root for x in trees.connected_components(spark, str(tmp_path)).collect()} == root
     by = defaultdict(set)
     for parts in sold.values():
         for a, b in combinations(parts, 2):
             by[a].add(b)
             by[b].add(a)
     want = {a: sum(c in by[b] for b, c in combinations(n, 2)) / max(1, len(n) * (len(n) - 1) / 2) for a, n in by.items()}
-    assert {x.part: x.c for x in trees.clustering_coefficient_all(spark, str(tmp_path)).collect()} == {k: pytest.approx(v, abs=1e-6) for k, v in want.items()}
+    assert {x.part: x.c for x in trees.clustering_coefficient(spark, str(tmp_path)).collect()} == {k: pytest.approx(v, abs=1e-6) for k, v in want.items()}

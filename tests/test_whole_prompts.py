@@ -17,5 +17,5 @@ CASES = [
 
 def test_prompt_is_whole(spark, tmp_path):
     spark.createDataFrame([(k, t) for k, (t, _) in enumerate(CASES)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    got = {r.item_id: (r.entry, r.prompt) for r in reports.prompt_render_whole(spark, str(tmp_path)).collect()}
+    got = {r.item_id: (r.entry, r.prompt) for r in reports.prompt_render(spark, str(tmp_path)).collect()}
     assert got == {k: (n, f'def {n}():\n    \"\"\"{t or ""}\"\"\"\n') for k, (t, n) in enumerate(CASES)}
