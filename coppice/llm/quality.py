@@ -46,12 +46,12 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     w = F.col("_words")
     m = F.size(w) - (WINDOW - 1)
     df = df.withColumn("_hashes", F.when(m > 1, F.transform(F.sequence(F.lit(0), m - 1), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(WINDOW)]))))
-    # Only texts that hold a window twice (by hash) are looked at further, and then by their words.
-    shifted = [F.slice(w, k + 1, m).alias(f"w{k}") for k in range(WINDOW)]
+    # Only texts that hold a window twice (by hash) are looked at further: windows are equal if they agree in 128 bits, and no window's words are copied.
     again = F.size(F.array_distinct("_hashes")) < m
-    df = df.withColumn("_sorted", F.when(again, F.sort_array(F.arrays_zip(*shifted, F.sequence(F.lit(0), m - 1).alias("at")))))
+    other = lambda i: F.xxhash64(F.lit(1), *[F.get(w, i + k) for k in range(WINDOW)])
+    df = df.withColumn("_sorted", F.when(again, F.sort_array(F.transform("_hashes", lambda h, i: F.struct(h.alias("h"), other(i).alias("g"), i.alias("at"))))))
     s = F.col("_sorted")
-    same = lambda a, b: F.when(_words_of(a) == _words_of(b), F.array(a["at"], b["at"])).otherwise(F.array().cast("array<int>"))
+    same = lambda a, b: F.when((a["h"] == b["h"]) & (a["g"] == b["g"]), F.array(a["at"], b["at"])).otherwise(F.array().cast("array<int>"))
     at = F.sort_array(F.array_distinct(F.flatten(F.zip_with(F.slice(s, 1, F.size(s) - 1), F.slice(s, 2, F.size(s) - 1), same))))
     df = df.withColumn("_at", F.when(s.isNotNull(), at))
     at = F.col("_at")
@@ -70,10 +70,6 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     ).drop("_words", "_lines", "_hashes", "_sorted", "_at")
 
 
-def _words_of(x: Column) -> Column:
-    return F.struct(*[x[f"w{k}"] for k in range(WINDOW)])
-
-
 def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with the measurements and `failed`, the bits of the rules that hold each document back."""
     bits = [F.when(F.expr(rule), F.lit(1 << k)).otherwise(F.lit(0)).cast("long") for k, rule in enumerate(RULES.values())]
@@ -102,13 +98,20 @@ def ablations(entries: DataFrame, policy: str) -> DataFrame:
 
 
 def rules(docs: DataFrame, policy: str = "v2", id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row a document with its measurements, base_failed, kept and the bits of its failed rules."""
+    """One row a document with its measurements, base_failed, kept and the bits of its failed rules.
+
+    A null or empty text has no words and fails few_words. A null id stays null; repeated rows are each judged; other columns are not read, whatever their
+    names; an empty table gives no rows.
+    """
     entries = ledger(docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")))
     return entries.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (F.col("failed").bitwiseAND(F.lit(mask(BASE))) != 0).alias("base_failed"), passes(policy).alias("kept"), "failed")
 
 
 def keep(docs: DataFrame, policy: str = "v2", text: str = "text") -> DataFrame:
-    """The rows of docs that a policy keeps, with their own columns, whatever their names."""
+    """The rows of docs that a policy keeps, with their own columns, whatever their names.
+
+    A null or empty text goes. Repeated rows are each judged; an empty table stays empty.
+    """
     rows = docs.select(F.struct("*").alias("_row"), F.col(text).alias("_text"))
     # A filter would be moved below the measurements and hold a copy of each; an expanded list of one row or none isn't.
     return ledger(rows, "_text").select(F.explode(F.when(passes(policy), F.array("_row"))).alias("_row")).select("_row.*")
