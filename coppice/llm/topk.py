@@ -33,7 +33,6 @@ QUERIES, VECTORS, CHUNK = 4096, 65_536, 512
 LEVELS = (16, 4)
 #: Rows of at most this magnitude have exact sums in 64-bit floats, at up to 2**13 components.
 EXACT = 1 << 20
-_NO_ID = np.iinfo(np.int64).max
 _LOW, _HIGH = -(1 << 63), (1 << 63) - 1
 
 
@@ -63,7 +62,8 @@ class Block:
         self.stats = [statistics(rows, m) for m in LEVELS]
         n = len(ids)
         self.score = np.full((n, k), _LOW, np.int64)
-        self.vec = np.full((n, k), _NO_ID, np.int64)
+        self.vec = np.zeros((n, k), np.int64)
+        self.none = np.zeros((n, k), bool)  # candidates without an id
         self.found = np.zeros((n, k), bool)
         self.large = bool(rows.size) and bool(np.abs(rows.astype(np.float64)).max() > EXACT)
 
@@ -76,7 +76,7 @@ class Block:
             out[k : k + (1 << 16)] = np.einsum("ij,ij->i", self.rows[q[k : k + (1 << 16)]].astype(np.float64), rows[c[k : k + (1 << 16)]].astype(np.float64)).astype(np.int64)
         return out
 
-    def meet(self, ids: np.ndarray, rows: np.ndarray, keys: np.ndarray) -> None:
+    def meet(self, ids: np.ndarray, none: np.ndarray, rows: np.ndarray, keys: np.ndarray) -> None:
         width = max(self.rows.shape[1], rows.shape[1])
         if width > self.rows.shape[1]:
             self.rows = np.pad(self.rows, ((0, 0), (0, width - self.rows.shape[1])))
@@ -105,21 +105,19 @@ class Block:
         qs = np.concatenate([np.repeat(who, self.k)[old.ravel()], q])
         ss = np.concatenate([self.score[who][old], score])
         vs = np.concatenate([self.vec[who][old], ids[c]])
-        order = np.lexsort((vs, -ss.astype(np.float64) if not self.large else ~ss, qs))
-        if not self.large and np.abs(ss).max() >= 1 << 53:
-            order = np.lexsort((vs, ~ss, qs))
-        qs, ss, vs = qs[order], ss[order], vs[order]
+        ns = np.concatenate([self.none[who][old], none[c]])
+        order = np.lexsort((vs, ns, ~ss, qs))
+        qs, ss, vs, ns = qs[order], ss[order], vs[order], ns[order]
         start = np.r_[True, qs[1:] != qs[:-1]]
         rank = np.arange(len(qs)) - np.maximum.accumulate(np.where(start, np.arange(len(qs)), 0))
         top = rank < self.k
-        qs, ss, vs, rank = qs[top], ss[top], vs[top], rank[top]
+        qs, ss, vs, ns, rank = qs[top], ss[top], vs[top], ns[top], rank[top]
         self.found[who] = False
-        self.score[qs, rank], self.vec[qs, rank], self.found[qs, rank] = ss, vs, True
+        self.score[qs, rank], self.vec[qs, rank], self.none[qs, rank], self.found[qs, rank] = ss, vs, ns, True
 
     def best(self) -> pa.RecordBatch:
         q, k = np.nonzero(self.found)
-        vec = self.vec[q, k]
-        return pa.RecordBatch.from_arrays([pa.array(self.keys[q]), pa.array(self.ids[q]), pa.array(vec, mask=vec == _NO_ID), pa.array(self.score[q, k])], ["key", "query_id", "vec_id", "score"])
+        return pa.RecordBatch.from_arrays([pa.array(self.keys[q]), pa.array(self.ids[q]), pa.array(self.vec[q, k], mask=self.none[q, k]), pa.array(self.score[q, k])], ["key", "query_id", "vec_id", "score"])
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -179,8 +177,8 @@ def search(spark: SparkSession, vectors: DataFrame, queries: str, k: int = 5, id
                         block, waiting = made(), []
                     for x in range(at, end, CHUNK):
                         part = batch.slice(x, min(CHUNK, end - x))
-                        ids = part.column(4).fill_null(_NO_ID).to_numpy()
-                        block.meet(ids, _matrix(part.column(5)), part.column(3).to_numpy())
+                        ids, none = part.column(4).fill_null(0).to_numpy(), part.column(4).is_null().to_numpy(zero_copy_only=False)
+                        block.meet(ids, none, _matrix(part.column(5)), part.column(3).to_numpy())
                 at = end
         if block:
             yield block.best()
