@@ -161,7 +161,11 @@ def prefix_tree(spark: SparkSession, conversations: DataFrame, path: str, conv_i
 
 
 def read_back(nodes: DataFrame, runs: DataFrame, paths: DataFrame, path: str) -> DataFrame:
-    """Digests of each conversation, from the tree's tokens alone: decoded, parsed and unescaped in the order of positions."""
+    """Digests of each conversation, read from the emitted stream alone: what its last turn's tokens attend to, and its own run up to its end.
+
+    The stretches of a conversation are taken from the stream by their starts, decoded, parsed and unescaped in that order. Each token must have the
+    position that its place in them gives.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, now, state = byte_bpe(path), None, None
@@ -197,8 +201,13 @@ def read_back(nodes: DataFrame, runs: DataFrame, paths: DataFrame, path: str) ->
     names = ["conv", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_tokens", "n_shared_tokens"]
     schema = pa.schema([(n, pa.string() if "sha256" in n else pa.int64()) for n in names])
     # A node's place in the stream is its run's start and what the run holds before it.
-    placed = nodes.join(runs.select("run", "start", F.col("position").alias("first")), "run").select("node", "run", "position", "ids", "loss_from", "loss_to", (F.col("start") + F.col("position") - F.col("first")).alias("start"))
-    whole = paths.join(placed, "node").select("conv", "run", "position", "ids", "loss_from", "loss_to").repartition("conv").sortWithinPartitions("conv", "position")
+    begins = runs.select("run", "start", F.col("position").alias("first"), "attends")
+    stream = nodes.join(begins.drop("attends"), "run").select("run", F.col("start").alias("lo"), (F.col("start") + F.col("position") - F.col("first")).alias("start"), "position", "ids", "loss_from", "loss_to")
+    ends = paths.groupBy("conv").agg(F.max_by("node", "depth").alias("node")).join(nodes.select("node", "run", (F.col("position") + F.col("n_tokens")).alias("end")), "node").join(begins, "run")
+    own = F.struct(F.col("start").alias("lo"), (F.col("start") + F.col("end") - F.col("first")).alias("hi"))
+    seen = ends.select("conv", F.posexplode(F.concat("attends", F.array(own))).alias("nth", "stretch")).select("conv", "nth", "stretch.lo", "stretch.hi")
+    read = seen.join(stream, "lo").where("start < hi").select("conv", "run", "position", "ids", "loss_from", "loss_to", "nth", "start")
+    whole = read.repartition("conv").sortWithinPartitions("conv", "nth", "start")
     return whole.mapInArrow(run, ", ".join(f"{n} {'string' if 'sha256' in n else 'long'}" for n in names))
 
 
