@@ -29,3 +29,25 @@ def test_context(spark, column):
     else:
         for r in pii.redact(docs).collect():
             assert not any(x in r.text for x in CASES[r.doc_id][1])
+
+
+SCORED = [
+    ("pay by credit card 4111 1111 1111 1111 now", "card", 100),
+    ("number 4111 1111 1111 1111 now", "card", 60),
+    ("tracking 4111 1111 1111 1111 now", "card", 20),
+    ("call +49 30 1234 5678", "phone", 90),
+    ("version 1.2.3.4", "ip", 20),
+    ("my iban DE89 3704 0044 0532 0130 00", "iban", 100),
+    ("code DE89 3704 0044 0532 0130 00", "iban", 60),
+    ("order DE89 3704 0044 0532 0130 00", None, None),
+]
+
+
+def test_scores(spark):
+    """Words around a span move its score; base spans stay at any, others go below 50."""
+    docs = spark.createDataFrame([(k, t) for k, (t, _, _) in enumerate(SCORED)], "doc_id long, text string")
+    for r in pii.report(docs).collect():
+        _, kind, score = SCORED[r.doc_id]
+        got = {s.split(":")[0]: int(x) for s, x in zip(r.spans.split(","), r.scores.split(",")) if s}
+        assert r.n_spans == len([s for s in r.spans.split(",") if s])
+        assert got.get(kind) == score if kind else "iban" not in got, (SCORED[r.doc_id], got)
