@@ -1,6 +1,7 @@
 """Documents to training sequences: quality rules, near-duplicates, repeated passages, personal data, packing.
 
-Each stage takes what its predecessor kept; all but the last return the columns of documents. n_chars follows the text.
+Each stage takes what its predecessor kept; all but the last return the columns of documents, whatever their names. n_chars follows the text. An empty
+table stays empty in every stage, and texts of any length are taken whole.
 """
 
 from __future__ import annotations
@@ -21,27 +22,30 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the current policy."""
+    """Documents that pass the current policy. Null and empty texts go; repeated rows are each judged; a null id is an id like others."""
     return quality.keep(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: shingles of five words, similarity 0.8 or more."""
+    """One document of each group of near-duplicates: shingles of five words, similarity 0.8 or more.
+
+    The smallest id stays, with each of its rows. Null ids and texts without words are no duplicates, and stay.
+    """
     return minhash.deduplicate(spark, docs, k=5, percent=80)
 
 
 def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without passages that also stand elsewhere."""
+    """Without passages that also stand elsewhere. Null texts stay null; of repeated rows each loses its text, for it stands in the other."""
     return _counted(suffixes.strip(spark, docs, length=PASSAGE))
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data replaced by its kind."""
+    """Personal data replaced by its kind. Null texts stay null."""
     return _counted(pii.redact(docs))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents and their places in sequences."""
+    """Pieces of documents and their places in sequences. A null or empty text is one piece, the end token."""
     return packing.pack(spark, docs, public_tokenizers.path("byte_bpe_50k.json"), cap=1024, end=2)
 
 
