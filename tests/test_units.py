@@ -22,6 +22,17 @@ def test_round_trip(code):
     assert ast.dump(ast.parse(back)) == ast.dump(ast.parse(sast.strip_comments(code)))
 
 
+def test_long_lines_of_words_have_no_tree():
+    words = "Orre " * 8000  # Python's parser overflows over these
+    assert sast.rows_of(words) == [] and sast.units_of(words) == [] and sast.calls_of(words) == [] and sast.strip_comments(words) == words
+
+
+@pytest.mark.parametrize("code", ["-" * 2000 + "x", "a" + ".b" * 3000, "1" + "+1" * 3000, "x = " + "not " * 1500 + "y"])
+def test_deep_programs_have_trees(code):
+    rows = sast.rows_of(code)
+    assert len(rows) > 1500 and [r[0] for r in rows] == list(range(len(rows)))
+
+
 def test_units_and_calls():
     code = "def b(): pass\nclass A:\n    def a(self): pass\n    def test_a(self): pass\nasync def c(): pass\n"
     assert [n for n, _ in sast.units_of(code)] == ["a", "b"]
