@@ -31,6 +31,7 @@ def test_long_lines_of_words_have_no_tree():
 def test_deep_programs_have_trees(code):
     rows = sast.rows_of(code)
     assert len(rows) > 1500 and [r[0] for r in rows] == list(range(len(rows)))
+    assert sast.code_of(rows) == code
 
 
 def test_units_and_calls():
