@@ -196,8 +196,8 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def cells(n: int, asked: int, width: int, tasks: int) -> tuple[int, int]:
-    """Blocks of queries and parts of vectors: n * blocks + asked * parts rows are moved, blocks * parts tasks run."""
-    return max(1, -(-asked * max(1, width) // HELD)), max(tasks, -(-n // VECTORS))
+    """Blocks of queries and parts of vectors: n * blocks + asked * parts rows are moved, blocks * parts tasks run, in full rounds of `tasks`."""
+    return max(1, -(-asked * max(1, width) // HELD)), tasks * max(1, -(-n // (tasks * VECTORS)))
 
 
 def search(spark: SparkSession, vectors: DataFrame, queries: str, k: int = 5, id_col: str = "vec_id", vector: str = "embedding", scale: int = 256) -> DataFrame:
