@@ -79,6 +79,17 @@ def test_noise_takes_little_more_than_a_matrix_product():
     assert took < 60 * np.median(plain)
 
 
+def test_several_blocks_and_parts(spark, monkeypatch):
+    """Queries of several blocks meet all parts, and give what one block gives."""
+    rows = noise(np.random.default_rng(8), 2000, 8) / 256
+    df = spark.createDataFrame([(k, r) for k, r in enumerate(rows.tolist())], "vec_id long, embedding array<double>")
+    one = sorted(tuple(r) for r in topk.search(spark, df, "vec_id % 10 = 0").collect())
+    monkeypatch.setattr(topk, "HELD", 8 * 30)
+    monkeypatch.setattr(topk, "VECTORS", 150)
+    assert topk.cells(2000, 200, 8, 4) == (7, 16)
+    assert sorted(tuple(r) for r in topk.search(spark, df, "vec_id % 10 = 0").collect()) == one and len(one) == 1000
+
+
 def test_rows_moved():
     """15 million vectors of 64 components, some 6 GB: their copies are few."""
     n, asked = 15_400_000, 308_000
