@@ -8,7 +8,7 @@ at the same place in each of its occurrences. Two sorts, the coarse one first:
    stretch of windows that have this anchor (digests of 64 and 128 bits). A gram
    that occurs once ends its windows. A stretch that occurs again is repeated as
    a whole. Others beside one of the same gram are asked further, one of each.
-2. Suffixes of these stretches' blocks of BLOCK windows. All windows of a block
+2. Suffixes of these stretches' blocks of `block` windows. All windows of a block
    share its core; the suffixes are sorted by the bytes of their cores. In a run
    of equal cores windows are compared by the few bytes beside the core.
 
@@ -21,6 +21,10 @@ these one row a kind is sent on and compared across boundaries.
 
 A text is known by its digest; a task passes on two copies of it at most, enough
 to know that it is repeated.
+
+Passages may also be counted in words: a text is then the digests of its words,
+WORD bytes each, and a window is so many digests from the begin of one. Windows
+that begin within a digest may be found too, and are left out at the end.
 """
 
 from __future__ import annotations
@@ -32,6 +36,7 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,6 +50,9 @@ HEADS, CORES = 1 << 18, 1 << 16
 #: Digests of texts that a task remembers.
 REMEMBERED = 400_000
 WHOLE, ASKED, EDGE = 1, 2, 3
+#: Bytes of a word's digest, where words are compared, and windows in a block of these.
+WORD = 8
+WORD_BLOCK = 16 * WORD
 
 
 def _digest(text: str = "text"):
@@ -55,6 +63,11 @@ def _key(data: bytes) -> bytes:
     return sha256(data).digest()[:16]
 
 
+def _units(data: bytes, unit: int) -> bytes:
+    """What is compared: the bytes themselves (unit 1), or the digests of the words between whitespace (unit WORD)."""
+    return data if unit == 1 else b"".join(map(xxhash.xxh3_64_digest, data.split()))
+
+
 def _table(columns: list, kinds: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
@@ -89,7 +102,7 @@ def multikey_sort(tokens: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return order, shared
 
 
-def heads(docs: DataFrame, length: int, gram: int) -> DataFrame:
+def heads(docs: DataFrame, length: int, gram: int, unit: int = 1) -> DataFrame:
     """One row a stretch of window starts [lo, hi] with one anchor (at): its two tokens, the second in halves."""
     names = ["gram", "a0", "a1", "th", "lo", "hi", "at"]
     kinds = [pa.int64()] * 3 + [pa.binary()] + [pa.int32()] * 3
@@ -100,14 +113,15 @@ def heads(docs: DataFrame, length: int, gram: int) -> DataFrame:
             for part in slices(batch, 64):
                 cols: list[list] = [[] for _ in names]
                 for text in part.column(0).to_pylist():
-                    data = (text or "").encode()
+                    raw = (text or "").encode()
+                    data = _units(raw, unit)
                     if len(data) < length:
                         continue
-                    th = _key(data)
+                    th = _key(raw)
                     if seen[th] == 2:
                         continue
                     seen[th] += 1
-                    first, last, anchor = runs(np.frombuffer(data, np.uint8), length, gram)
+                    first, last, anchor = (x * unit for x in runs(np.frombuffer(data, f"<u{unit}"), length // unit, gram // unit))
                     view, lo, hi, at = memoryview(data), first.tolist(), last.tolist(), anchor.tolist()
                     around = np.frombuffer(b"".join([xxhash.xxh3_128_digest(view[a : b + length]) for a, b in zip(lo, hi, strict=True)]), np.int64)
                     grams = np.array([xxhash.xxh3_64_intdigest(view[a : a + gram]) for a in at], np.uint64).view(np.int64)
@@ -151,7 +165,7 @@ def _first_sort(table: pa.Table) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), what, np.int32)), *(part.column(c).combine_chunks() for c in part.column_names), pa.array(np.zeros(len(rows), np.int64) if m is None else m)], ["what", *part.column_names, "m"])
 
 
-def blocks(texts: DataFrame, length: int) -> DataFrame:
+def blocks(texts: DataFrame, length: int, unit: int = 1, block: int = BLOCK) -> DataFrame:
     """The stretches of each text (th, text, found: array of lo, hi, at) cut into blocks: the core, and the bytes beside it.
 
     from_, to: the block's windows, by how many bytes before the core they begin; place: where the core begins.
@@ -168,15 +182,15 @@ def blocks(texts: DataFrame, length: int) -> DataFrame:
                     if th in seen:  # a copy: its windows are repeated, and known to be
                         continue
                     seen.add(th)
-                    data = (text or "").encode()
+                    data = _units((text or "").encode(), unit)
                     for r in found:
                         at, lo, hi = r["at"], r["lo"], r["hi"]
-                        for j in range((at - hi) // BLOCK, (at - lo) // BLOCK + 1):
-                            a, b = max(at - hi - j * BLOCK, 0), min(at - lo - j * BLOCK, BLOCK - 1)
-                            begin = at - j * BLOCK
-                            end = begin - BLOCK + 1 + length
+                        for j in range((at - hi) // block, (at - lo) // block + 1):
+                            a, b = max(at - hi - j * block, 0), min(at - lo - j * block, block - 1)
+                            begin = at - j * block
+                            end = begin - block + 1 + length
                             core = data[begin:end]
-                            row = (core[:LEAD], xxhash.xxh3_64_intdigest(core) - (1 << 63), core, th, begin, a, b, data[begin - b : begin], data[end : end + BLOCK - 1 - a])
+                            row = (core[:LEAD], xxhash.xxh3_64_intdigest(core) - (1 << 63), core, th, begin, a, b, data[begin - b : begin], data[end : end + block - 1 - a])
                             for c, x in zip(cols, row, strict=True):
                                 c.append(x)
                 if len(seen) > REMEMBERED:
@@ -192,7 +206,7 @@ def _common(a: bytes, b: bytes) -> int:
     return n - ((int.from_bytes(a[:n]) ^ int.from_bytes(b[:n])).bit_length() + 7) // 8
 
 
-def _second_sort(parts: int):
+def _second_sort(parts: int, unit: int = 1, block: int = BLOCK):
     """Hits: th, lo, hi. Of the first and last run, what windows there are: packed by core and shard, one entry a distinct window."""
     packed = np.dtype([("k0", "<i8"), ("k1", "<i8"), ("th", "S16"), ("start", "<i4"), ("known", "u1")])
     names, kinds = ["th", "lo", "hi", "core", "shard", "windows"], [pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.binary()]
@@ -222,7 +236,7 @@ def _second_sort(parts: int):
                 continue
             if len(alike) == 2 and not edge:
                 x, y = (v[0] for v in alike.values())
-                low = max(first[x], first[y], BLOCK - 1 - _common(rights[x], rights[y]))
+                low = max(first[x], first[y], block - 1 - _common(rights[x], rights[y]))
                 high = min(last[x], last[y], _common(lefts[x][::-1], lefts[y][::-1]))
                 if low <= high:
                     out += [(ths[z], place[z] - high, place[z] - low, None, None, None) for z in single]
@@ -230,8 +244,8 @@ def _second_sort(parts: int):
             hits: dict[int, list[int]] = {x: [] for x in single}
             entries: list[tuple] = []
             kinds_of = [(v[0], len(v)) for v in alike.values()]
-            for o in range(min(first[x] for x, _ in kinds_of), max(last[x] for x, _ in kinds_of) + 1):
-                here = [(x, n, lefts[x][last[x] - o :] + b"|" + rights[x][: BLOCK - 1 - o]) for x, n in kinds_of if first[x] <= o <= last[x]]
+            for o in range(-(-min(first[x] for x, _ in kinds_of) // unit) * unit, max(last[x] for x, _ in kinds_of) + 1, unit):
+                here = [(x, n, lefts[x][last[x] - o :] + b"|" + rights[x][: block - 1 - o]) for x, n in kinds_of if first[x] <= o <= last[x]]
                 often: Counter[bytes] = Counter()
                 for _, n, w in here:
                     often[w] += n
@@ -243,7 +257,7 @@ def _second_sort(parts: int):
             for x, at in hits.items():
                 begin = 0
                 for k in range(1, len(at) + 1):
-                    if k == len(at) or at[k] != at[k - 1] + 1:
+                    if k == len(at) or at[k] != at[k - 1] + unit:
                         out.append((ths[x], place[x] - at[k - 1], place[x] - at[begin], None, None, None))
                         begin = k
             if edge:
@@ -279,10 +293,11 @@ def _second_sort(parts: int):
     return sort, meet
 
 
-def repeated(spark: SparkSession, docs: DataFrame, length: int = 400, gram: int = GRAM) -> DataFrame:
-    """Starts of repeated windows by text: th, found (array of struct lo, hi); texts without any are absent."""
+def repeated(spark: SparkSession, docs: DataFrame, length: int = 400, gram: int = GRAM, unit: int = 1) -> DataFrame:
+    """Starts of repeated windows by text: th, found (array of struct lo, hi); texts without any are absent. All are in bytes of _units."""
     docs = docs.select(F.col("text").cast("string").alias("text"))
-    made = cut(spark, heads(docs, length, gram))
+    block = min(BLOCK if unit == 1 else WORD_BLOCK, length // unit // 2 * unit)
+    made = cut(spark, heads(docs, length, gram, unit))
     first = cut(spark, _bucketed(spark, made, ["gram", "a0", "a1", "th", "lo"], HEADS, _first_sort, "what int, gram long, a0 long, a1 long, th binary, lo int, hi int, at int, m long"))
     _free(spark, made)
     # Across boundaries: kinds of stretches that several buckets hold.
@@ -292,8 +307,8 @@ def repeated(spark: SparkSession, docs: DataFrame, length: int = 400, gram: int
     whole = first.where(f"what = {WHOLE}").select("th", "lo", "hi").unionByName(again.select("th", "lo", "hi"))
     need = first.where(f"what = {ASKED}").select("th", "lo", "hi", "at").unionByName(kinds.select("one.*"))
     asked = need.groupBy("th").agg(F.collect_set(F.struct("lo", "hi", "at")).alias("found"))
-    parts = cut(spark, blocks(docs.withColumn("th", _digest()).join(asked, "th"), length))
-    sort, meet = _second_sort(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = cut(spark, blocks(docs.withColumn("th", _digest()).join(asked, "th"), length, unit, block))
+    sort, meet = _second_sort(int(spark.conf.get("spark.sql.shuffle.partitions")), unit, block)
     second = cut(spark, _bucketed(spark, parts, ["lead", "mix", "th", "place"], CORES, sort, "th binary, lo int, hi int, core binary, shard int, windows binary"))
     _free(spark, parts)
     met = second.where("core is not null").select("core", "shard", "windows").repartition("core", "shard").sortWithinPartitions("core", "shard").mapInArrow(meet, "th binary, lo int, hi int")
@@ -321,36 +336,66 @@ def covered(found: list[dict] | None, length: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _joined(spark: SparkSession, docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """docs (with a column text) and `found` for each row."""
-    found = repeated(spark, docs, length, gram)
-    return docs.withColumn("th", _digest()).join(found, "th", "left").drop("th")
-
-
-def report(spark: SparkSession, docs: DataFrame, length: int = 400, gram: int = GRAM, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row a document: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
+def stretches(found: pa.ListArray, length: int, unit: int = 1) -> list[list[tuple[int, int]]]:
+    """Like covered, of each row and in units of `unit` bytes; windows that begin within a unit are none."""
+    out: list[list[tuple[int, int]]] = [[] for _ in range(len(found))]
+    lo, hi = (x.to_numpy().astype(np.int64) for x in found.flatten().flatten())
+    row = np.repeat(np.arange(len(found)) << 40, pc.list_value_length(found).fill_null(0).to_numpy())
+    lo, hi = -(-lo // unit), hi // unit
+    whole = lo <= hi
+    begin, end = (row + lo)[whole], (row + hi + length)[whole]
+    if len(begin):
+        order = np.argsort(begin)
+        begin, end = begin[order], np.maximum.accumulate(end[order])
+        new = np.flatnonzero(np.r_[True, begin[1:] > end[:-1]])
+        a, b = begin[new], end[np.r_[new[1:], len(begin)] - 1]
+        at = a >> 40
+        for r, x, y in zip(at.tolist(), (a - (at << 40)).tolist(), (b - (at << 40)).tolist(), strict=True):
+            out[r].append((x, y))
+    return out
+
+
+def _joined(spark: SparkSession, docs: DataFrame, length: int, gram: int, words: int = 0) -> DataFrame:
+    """docs (with a column text) and `found` for each row; with `words` also `worded`, of windows of so many words."""
+    found = [repeated(spark, docs, length, gram)]
+    if words:
+        found.append(repeated(spark, docs, words * WORD, GRAM, WORD).withColumnRenamed("found", "worded"))
+    docs = docs.withColumn("th", _digest())
+    for f in found:
+        docs = docs.join(f, "th", "left")
+    return docs.drop("th")
+
+
+def report(spark: SparkSession, docs: DataFrame, length: int = 400, gram: int = GRAM, id_col: str = "doc_id", text: str = "text", words: int = 0) -> DataFrame:
+    """One row a document: doc_id, n_bytes, n_removed, n_spans, kept_sha256; with `words` also n_passages and n_passage_words.
+
+    These two count the words that stand in `words` successive words found twice or more, whatever the whitespace between and however many bytes they
+    have, and the maximal runs of them; nothing more is removed for it. `words` is 8 (GRAM // WORD) at least.
 
     A null text is empty. Texts shorter than `length` bytes lose nothing; a repeated row is a repetition of all its windows; ids may repeat or be null;
     other columns are not read; an empty table gives no rows.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["n_passages", "n_passage_words"][: 2 * bool(words)]]
+    kinds = [pa.string() if n == "kept_sha256" else pa.int64() for n in names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 rows = []
-                for doc, t, found in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                    data, spans = (t or "").encode(), covered(found, length)
+                found = [stretches(part.column(2), length), *(stretches(c, words, WORD) for c in part.columns[3:])]
+                for doc, t, spans, *told in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), *found, strict=True):
+                    data = (t or "").encode()
                     digest, at = sha256(), 0
                     for a, b in spans:
                         digest.update(data[at:a])
                         at = b
                     digest.update(data[at:])
-                    rows.append((doc, len(data), sum(b - a for a, b in spans), len(spans), digest.hexdigest()))
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
-                yield _table(list(zip(*rows, strict=True)) if rows else [[]] * 5, kinds, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                    rows.append((doc, len(data), sum(b - a for a, b in spans), len(spans), digest.hexdigest(), *(x for p in told for x in (len(p), sum(b - a for a, b in p)))))
+                yield _table(list(zip(*rows, strict=True)) if rows else [[]] * len(names), kinds, names)
 
-    return _joined(spark, docs, length, gram).select("doc_id", "text", "found").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    schema = ", ".join(f"{n} {'string' if n == 'kept_sha256' else 'long'}" for n in names)
+    return _joined(spark, docs, length, gram, words).select("doc_id", "text", "found", *["worded"][: bool(words)]).mapInArrow(run, schema)
 
 
 def strip(spark: SparkSession, docs: DataFrame, length: int = 400, gram: int = GRAM, text: str = "text") -> DataFrame:
