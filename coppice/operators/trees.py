@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import FOREST, forest, table, written
+from .triangles import triangles
 
 TOP, NEAREST, RADIUS = 10, 10, 3
 
@@ -122,20 +123,17 @@ def pagerank_fixed_iters(spark, sf_dir):
 
 def clustering(lines: DataFrame) -> DataFrame:
     """Of parts sold in one order: triangles over pairs of neighbours."""
-    b = lines.select("l_orderkey", "l_partkey").distinct()
-    e = b.select("l_orderkey", F.col("l_partkey").alias("a")).join(b.select("l_orderkey", F.col("l_partkey").alias("b")), "l_orderkey").where("a < b").select("a", "b").distinct()
-    both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
     spark = lines.sparkSession
-    degree = written(spark, both.groupBy("a").agg(F.count("*").alias("d")))
+    b = lines.select("l_orderkey", "l_partkey").repartition("l_orderkey").distinct()
+    pairs = b.select("l_orderkey", F.col("l_partkey").alias("a")).join(b.select("l_orderkey", F.col("l_partkey").alias("b")), "l_orderkey").where("a < b").select("a", "b")
+    e = written(spark, pairs.distinct())
+    degree = written(spark, e.select(F.explode(F.array("a", "b")).alias("a")).groupBy("a").agg(F.count("*").alias("d")))
     # Every edge leads from its end of lower degree to the other: an end has few such edges, however hot it is, and a triangle is found once.
     rank = lambda c, d: degree.select(F.col("a").alias(c), F.struct(F.col("d"), F.col("a").alias("i")).alias(d))
     ranked = e.join(rank("a", "ra"), "a").join(rank("b", "rb"), "b")
     first = F.col("ra") < F.col("rb")
-    out = written(spark, ranked.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("u"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("v")))
-    wedge = out.join(out.select("u", F.col("v").alias("w")), "u").where("v < w")
-    closed = wedge.join(e.select(F.col("a").alias("v"), F.col("b").alias("w")), ["v", "w"], "left_semi")
-    corners = closed.select(F.explode(F.array("u", "v", "w")).alias("a")).groupBy("a").agg(F.count("*").alias("t"))
-    return degree.join(corners, "a", "left").select(F.col("a").alias("part"), F.round(F.when(F.col("d") > 1, 2 * F.coalesce("t", F.lit(0)) / (F.col("d") * (F.col("d") - 1))).otherwise(0.0), 6).alias("c"))
+    out = ranked.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("u"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("v"))
+    return degree.join(triangles(out, e.count()), "a", "left").select(F.col("a").alias("part"), F.round(F.when(F.col("d") > 1, 2 * F.coalesce("t", F.lit(0)) / (F.col("d") * (F.col("d") - 1))).otherwise(0.0), 6).alias("c"))
 
 
 def clustering_coefficient(spark, sf_dir):
