@@ -5,8 +5,9 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
-from coppice.operators import triangles
+from coppice.operators import tiles, triangles, vectors
 
 
 def _graph(n, m, seed):
@@ -50,3 +51,35 @@ def test_arrays_are_packed():
     for arrays in ([np.array([], np.int64)], [np.array([5, -(2**62), 2**62]), np.array([], np.int64), r.integers(0, 9, 30)]):
         back = triangles.unpacked(triangles.packed(*arrays))
         assert len(back) == len(arrays) and all(np.array_equal(x, y) for x, y in zip(back, arrays, strict=True))
+
+
+def test_pairs_meet_in_tiles(spark, tmp_path, monkeypatch):
+    """Several blocks of queries; no row a pair; nulls, NaN and vectors of other sizes as in the folds."""
+    monkeypatch.setattr(tiles, "QUERIES", 3)
+    r = np.random.default_rng(7)
+    vs = [(100 * k if k < 8 else k + 1, k % 3, [float(x) for x in np.float32(r.random(5) * 0.9)]) for k in range(40)]
+    vs += [(2000, None, None), (2001, 1, [0.5, None, 0.125, 0.25, 0.375]), (2100, 2, [0.5] * 4), (2200, None, [0.125] * 5), (2201, 0, [float("nan")] * 5)]
+    spark.createDataFrame(vs, "vec_id long, label int, embedding array<float>").repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
+    v = spark.createDataFrame(vs, "vec_id long, label int, e array<double>")
+    pairs = vectors.against(v.where("vec_id % 100 = 0"), v).withColumn("x", F.expr("aggregate(zip_with(q_e, t_e, (a, b) -> greatest(0.0D, a - b) * greatest(0.0D, a - b)), 0.0D, (s, z) -> s + z)"))
+    pairs = pairs.withColumn("d", F.expr("aggregate(zip_with(q_e, t_e, (a, b) -> (a - b) * (a - b)), 0.0D, (s, z) -> s + z)")).withColumn("more", F.expr("if(q_e is null or t_e is null, null, size(filter(zip_with(q_e, t_e, (a, b) -> a > b), z -> z)))")).cache()
+    other = pairs.where("q_vec_id <> t_vec_id")
+    want = {
+        "alignment_matrix": pairs.selectExpr("q_vec_id", "t_vec_id", "round(ln(x + 1e-7), 6)"),
+        "pairwise_cost_matrix": pairs.selectExpr("q_vec_id", "t_vec_id", "round(d, 6)"),
+        "dominance_frequency": other.groupBy("q_vec_id").agg(F.expr("count_if(x <= 0.5)")),
+        "dominance_conjunctive": pairs.groupBy("q_label", "t_vec_id").agg(F.expr("bool_and(x <= 1.0)").alias("ok")).groupBy("q_label").agg(F.expr("count_if(ok)")),
+        "dimension_violation_count": other.groupBy("q_vec_id").agg(F.expr("min(more)"), F.expr("sum(more)"), F.expr("count_if(more < 6)")),
+        "order_loss": other.groupBy("q_vec_id").agg(F.expr("round(sum(if(q_label = t_label, x, greatest(0.0D, 0.1D - x))), 6)")),
+    }
+    for name, df in want.items():
+        got = vectors.QUERIES[name](spark, str(tmp_path))
+        assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+        assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, map(tuple, df.collect()))), name
+
+
+def test_rounding_is_that_of_sql(spark):
+    r = np.random.default_rng(2)
+    x = np.concatenate([r.normal(size=2000) * 10.0 ** r.integers(-8, 12, 2000), r.integers(-(10**7), 10**7, 2000) / 1e7 * 5, [0.0, -0.0, -1e-9, 1e300, np.inf, -np.inf, np.nan, 0.0000005, 1.0000005]])
+    want = [row.y for row in spark.createDataFrame([(k, float(v)) for k, v in enumerate(x)], "k long, x double").selectExpr("k", "round(x, 6) AS y").orderBy("k").collect()]
+    assert list(map(repr, tiles.rounded(x).tolist())) == list(map(repr, want))
