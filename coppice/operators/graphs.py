@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 
 from ..functions import code
 from ..sources import files
-from ..sources.tables import FOREST, forest, table, written
+from ..sources.tables import FOREST, forest, forest_rows, table, written
+from . import programs
 from .code import _TRUNC
 from .text import SQL as TEXT_SQL
 from .text import context_window
-from .trees import _DEG, _HOP, induced, neighbourhoods, top_degree
+from .trees import _DEG, _HOP, NEAREST, RADIUS, TOP, induced, near_top, top_degree
 from .vectors import vectors
 
 #: A pattern is a tree: (node, parent, type, span) with parents first; None fits any span.
@@ -75,15 +76,12 @@ def remove_nodes(spark, sf_dir):
 
 def _hoods(spark, sf_dir):
     edges = forest(spark, sf_dir)[1]
-    members = neighbourhoods(edges, top_degree(edges))
-    return edges, members
+    return edges, near_top(edges)
 
 
 def component_roots(spark, sf_dir):
     """The first member of each neighbourhood that no other member leads to."""
-    edges, members = _hoods(spark, sf_dir)
-    inner = induced(edges, members).select("prog", "anchor", F.col("dst").alias("node"))
-    return members.join(inner, ["prog", "anchor", "node"], "left_anti").groupBy("prog", "anchor").agg(F.min("node").alias("root"))
+    return programs.roots(forest(spark, sf_dir)[1], TOP, RADIUS, NEAREST)
 
 
 def connected_idioms(spark, sf_dir):
@@ -121,7 +119,7 @@ def wl_of_sets(edges: DataFrame, members: DataFrame, rounds: int = 3) -> DataFra
 
 def neighbourhood_clusters(spark, sf_dir):
     """Neighbourhoods by the hash of the subgraphs that they induce: members of each shape and size."""
-    return wl_of_sets(*_hoods(spark, sf_dir)).groupBy("size", "hash").agg(F.count("*").alias("members"), F.min("prog").alias("first"))
+    return programs.shapes(forest(spark, sf_dir)[1], TOP, RADIUS, NEAREST)
 
 
 def mining_seeds(spark, sf_dir):
@@ -134,19 +132,11 @@ def mining_seeds(spark, sf_dir):
 
 def sampled_subgraphs(nodes: DataFrame, edges: DataFrame, size: int, seed: int) -> DataFrame:
     """prog, step, node: a connected part of each program, from a drawn start, at each step the frontier node that comes first by digest."""
-    spark = nodes.sparkSession
-    h = lambda step, c: F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(str(step)), F.col("prog").cast("string"), F.col(c).cast("string")))
-    both = written(spark, edges.select("prog", F.col("src").alias("node"), F.col("dst").alias("next")).unionByName(edges.select("prog", F.col("dst").alias("node"), F.col("src").alias("next"))))
-    members = written(spark, nodes.groupBy("prog").agg(F.min(F.struct(h(0, "node").alias("h"), "node")).alias("m")).select("prog", F.lit(0).alias("step"), F.col("m.node").alias("node")))
-    for step in range(1, size):
-        near = members.select("prog", "node").join(both, ["prog", "node"]).select("prog", F.col("next").alias("node")).distinct().join(members.select("prog", "node"), ["prog", "node"], "left_anti")
-        new = near.groupBy("prog").agg(F.min(F.struct(h(step, "node").alias("h"), "node")).alias("m")).select("prog", F.lit(step).alias("step"), F.col("m.node").alias("node"))
-        members = written(spark, members.unionByName(new))
-    return members
+    return programs.grown_parts(programs.rows_of(nodes, edges), size, seed)
 
 
 def sampled_neighbourhoods(spark, sf_dir):
-    return sampled_subgraphs(*forest(spark, sf_dir), STEPS, 7)
+    return programs.grown_parts(forest_rows(spark, sf_dir), STEPS, 7)
 
 
 def training_pairs(spark, sf_dir):

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import sast
 from ..sources.tables import FOREST, forest, table
-from .trees import _DEG, _HOP, neighbourhoods, top_degree
+from .programs import outlines
+from .trees import _DEG, _HOP, NEAREST, RADIUS, TOP
 
 #: Snippets that show the rules of simplified trees.
 SNIPPETS = ["np.mean", "os.path.join", "train_test_split", "def f(x):\n    return np.dot(x, x) + 1", "x = '#'  # note\ny = f'{x}a'", "def g(:", "# only a comment", "é = np.max(à)\nnp.min(é)"]
@@ -25,11 +26,7 @@ SPACE_SQL = r"[\s\v\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029
 
 def idioms(spark, sf_dir) -> DataFrame:
     """A generation table from the forest's neighbourhoods: size, hash of the shape, score, holes."""
-    edges = forest(spark, sf_dir)[1]
-    n = neighbourhoods(edges, top_degree(edges))
-    return n.groupBy("prog", "anchor").agg(
-        F.count("*").alias("size"), F.md5(F.array_join(F.array_sort(F.collect_list("hop")), ",")).alias("hash"), F.count_if(F.col("hop") == 1).alias("score"), F.count_if(F.col("hop") == 2).alias("holes")
-    )
+    return outlines(forest(spark, sf_dir)[1], TOP, RADIUS, NEAREST)
 
 
 def clusters(i: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import FOREST, forest, table, written
+from . import programs
 from .triangles import triangles
 
 TOP, NEAREST, RADIUS = 10, 10, 3
@@ -37,13 +38,18 @@ def tree_degree_topn(spark, sf_dir):
     return top_degree(forest(spark, sf_dir)[1]).select("prog", "node", "degree", "rank")
 
 
+def near_top(edges: DataFrame) -> DataFrame:
+    """prog, anchor, node, hop, rank: the neighbourhoods of each program's anchors, in one pass over its edges."""
+    return programs.members(edges, TOP, RADIUS, NEAREST)
+
+
 def _khop(spark, sf_dir):
     edges = written(spark, forest(spark, sf_dir)[1])
-    return edges, neighbourhoods(edges, top_degree(edges))
+    return edges, near_top(edges)
 
 
 def khop_neighbourhoods(spark, sf_dir):
-    return _khop(spark, sf_dir)[1].select("prog", "anchor", "node", "hop", "rank")
+    return near_top(forest(spark, sf_dir)[1])
 
 
 def induced(edges: DataFrame, members: DataFrame) -> DataFrame:
@@ -53,7 +59,7 @@ def induced(edges: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def induced_edges(spark, sf_dir):
-    return induced(*_khop(spark, sf_dir)).select("prog", "anchor", "src", "dst")
+    return programs.inner_edges(forest(spark, sf_dir)[1], TOP, RADIUS, NEAREST)
 
 
 def radial(edges: DataFrame, members: DataFrame) -> DataFrame:

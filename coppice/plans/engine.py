@@ -12,10 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.graphs import match_pattern, wl_of_sets
+from ..operators.programs import rows_of
 from ..operators.trees import induced
 from ..sources import files
 from ..sources.tables import written
-from .search import Config, grow, hoods, labelled, search
+from .search import Config, corpus_of, grow, labelled, search, within
 
 IDIOMS = "query string, mode string, prog long, members string, cluster long, rank int, nhoods long, holes int, size int"
 
@@ -85,7 +86,7 @@ class Engine:
         self.spark, self.edges, self.place, self.config = spark, edges, place, config
         self.plain = nodes
         self.nodes = written(spark, labelled(nodes, edges))
-        self.corpus = written(spark, hoods(self.nodes, edges).groupBy("phi").agg(F.count("*").alias("n")))
+        self.corpus = written(spark, corpus_of(rows_of(nodes, edges)))
 
     def _where(self, query: str) -> str:
         return f"{self.place}/{query.replace('/', '__').replace(';', '+')}"
@@ -107,8 +108,9 @@ class Engine:
         else:
             raise ValueError(f"unknown mode {mode}")
         saved, size, beams = [], 0, written(self.spark, beams) if beams is not None else None
+        near = written(self.spark, within(self.nodes, beams)) if beams is not None else None
         while beams is not None and not beams.isEmpty():
-            best = written(self.spark, grow(beams, self.nodes, self.corpus, cfg))
+            best = written(self.spark, grow(beams, near, self.corpus, cfg))
             if best.isEmpty():
                 break
             size += 1

@@ -8,12 +8,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.trees import _DEG, _HOP, neighbourhoods, top_degree
-from ..operators.vectors import against
-from ..sources.tables import FOREST, forest, written
+from ..operators import programs, tiles
+from ..operators.trees import _DEG, _HOP, NEAREST, RADIUS, TOP
+from ..sources.tables import FOREST, forest_rows, written
 
 BUCKETS = 64
 
@@ -57,27 +59,52 @@ def encode(members: DataFrame, nodes: DataFrame, key: list[str], whole: bool = T
     return counts.groupBy(*key).agg(at.alias("m")).select(*key, F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda b: F.coalesce(F.try_element_at("m", b), F.lit(0)).cast("int")).alias("phi"))
 
 
-def hoods(nodes: DataFrame, edges: DataFrame, whole: bool = True) -> DataFrame:
-    """Encodings of all neighbourhoods: prog, anchor, phi."""
-    near = neighbourhoods(edges, top_degree(edges)).select("prog", "anchor", "node")
-    sets = near.groupBy("prog", "anchor").agg(F.collect_list("node").alias("all"))
-    return encode(sets.select("prog", "anchor", "all", F.explode("all").alias("node")), nodes, ["prog", "anchor"], whole)
+def corpus_of(rows: DataFrame) -> DataFrame:
+    """Encodings of all neighbourhoods, and how many have each: phi, n."""
+    return programs.phi_counts(rows, TOP, RADIUS, NEAREST)
+
+
+class Contained(tiles.Pairs):
+    """phi, score of each query in a task: how many neighbourhoods (their numbers are the labels of rows) have no less in any bucket."""
+
+    def __init__(self):
+        super().__init__(pa.schema([("phi", pa.list_(pa.int32())), ("score", pa.int64())]))
+        self.score = None
+
+    def rows(self, q, t):
+        self.score = np.zeros(len(q.id), np.int64) if self.score is None else self.score
+        for s, more, ok in tiles.greater(q, t):
+            self.score[s] += ((more == 0) & ok) @ t.label
+        return iter(())
+
+    def end(self, q):
+        if self.score is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(list(q.e.T.astype(np.int32)), self.schema[0].type), pa.array(self.score)], schema=self.schema)
 
 
 def scored(candidates: DataFrame, corpus: DataFrame) -> DataFrame:
     """phi, score: how many neighbourhoods (corpus: phi, n) have no less in any bucket."""
-    kinds = candidates.select("phi").distinct().withColumn("vec_id", F.xxhash64("phi"))
-    rows = corpus.withColumn("vec_id", F.xxhash64("phi"))
-    ok = F.forall(F.zip_with("q_phi", "t_phi", lambda a, b: a <= b), lambda x: x)
-    return against(kinds, rows).where(ok).groupBy(F.col("q_phi").alias("phi")).agg(F.sum("t_n").alias("score"))
+    kinds = candidates.select("phi").distinct().select(F.lit(0).cast("long").alias("id"), F.lit(0).cast("long").alias("label"), "phi")
+    rows = corpus.select(F.lit(0).cast("long").alias("id"), F.col("n").alias("label"), "phi")
+    found = tiles.over_pairs(kinds, rows, Contained(), "phi array<int>, score long")
+    return found.groupBy("phi").agg(F.sum("score").alias("score"))
 
 
-def seeds(nodes: DataFrame, cfg: Config) -> DataFrame:
-    """One beam a program: its least node with the seed's label; the limit is a feature of the search."""
+def starts(nodes: DataFrame, cfg: Config) -> DataFrame:
+    """One node a program: its least with the seed's label; the limit is a feature of the search."""
     hit = nodes.where(F.col("span") == cfg.seed).groupBy("prog").agg(F.min("node").alias("node"))
-    first = hit.orderBy("prog").limit(cfg.max_init_beams).join(nodes, ["prog", "node"])
+    return hit.orderBy("prog").limit(cfg.max_init_beams)
+
+
+def seeds(named: DataFrame, first: DataFrame) -> DataFrame:
+    """Beams of one node each."""
     near = F.filter(F.concat("kids", F.array("parent")), lambda x: x.isNotNull())
-    return first.select("prog", F.array("node").alias("members"), F.array_sort(near).alias("frontier"), F.array("node").alias("visited"), "holes")
+    return first.join(named, ["prog", "node"]).select("prog", F.array("node").alias("members"), F.array_sort(near).alias("frontier"), F.array("node").alias("visited"), "holes")
+
+
+def within(df: DataFrame, beams: DataFrame) -> DataFrame:
+    """The rows of the beams' programs: no other program's are looked at again."""
+    return df.join(beams.select("prog").distinct(), "prog", "left_semi")
 
 
 def grow(beams: DataFrame, nodes: DataFrame, corpus: DataFrame, cfg: Config) -> DataFrame:
@@ -91,18 +118,26 @@ def grow(beams: DataFrame, nodes: DataFrame, corpus: DataFrame, cfg: Config) ->
         F.array_append("visited", F.col("node")).alias("visited"), F.col("open").alias("holes"),
     )
     phi = encode(made.select("prog", F.col("node").alias("cand"), F.col("members").alias("all"), F.explode("members").alias("node")), nodes, ["prog", "cand"])
-    full = made.join(phi.withColumnRenamed("cand", "node"), ["prog", "node"])
+    full = written(beams.sparkSession, made.join(phi.withColumnRenamed("cand", "node"), ["prog", "node"]))
     rated = full.join(scored(full, corpus), "phi", "left").withColumn("score", F.coalesce("score", F.lit(0)))
     ratio = F.when(F.col("holes") == 0, F.col("score")).otherwise(F.col("score") / F.col("holes"))
     w = Window.partitionBy("prog").orderBy(F.desc(ratio), "holes", "node")
     return rated.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= cfg.n_beams).drop("phi", "node")
 
 
-def search(spark: SparkSession, nodes: DataFrame, edges: DataFrame, cfg: Config = Config()) -> DataFrame:
-    """gen, prog, members, score, holes of the best beam of each program and generation."""
-    named = written(spark, labelled(nodes, edges))
-    corpus = written(spark, hoods(named, edges).groupBy("phi").agg(F.count("*").alias("n")))
-    beams, found, gen = written(spark, seeds(named, cfg)), [], 1
+def begin(spark: SparkSession, rows: DataFrame, cfg: Config) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Beams, the labelled nodes of their programs, and the corpus of all programs."""
+    nodes = rows.where(F.col("kind").bitwiseAND(programs.NODE) > 0).select("prog", "node", "type", "span")
+    edges = rows.where(F.col("kind").bitwiseAND(programs.EDGE) > 0).select("prog", F.col("parent").alias("src"), F.col("node").alias("dst"))
+    first = written(spark, starts(nodes, cfg))
+    named = written(spark, labelled(within(nodes, first), within(edges, first)))
+    return written(spark, seeds(named, first)), named, written(spark, corpus_of(rows))
+
+
+def search(spark: SparkSession, rows: DataFrame, edges: DataFrame | None = None, cfg: Config = Config()) -> DataFrame:
+    """gen, prog, members, score, holes of the best beam of each program and generation. rows: of operators.programs, or the nodes beside edges."""
+    beams, named, corpus = begin(spark, written(spark, rows if edges is None else programs.rows_of(rows, edges)), cfg)
+    found, gen = [], 1
     while gen < cfg.max_size:
         best = written(spark, grow(beams, named, corpus, cfg))
         if best.isEmpty():
@@ -126,20 +161,17 @@ def balanced(generation: DataFrame) -> bool:
 
 
 def idiom_search(spark, sf_dir):
-    return search(spark, *forest(spark, sf_dir)).select("gen", "prog", F.concat_ws(",", F.transform("members", lambda x: x.cast("string"))).alias("members"), "score", "holes")
+    return search(spark, forest_rows(spark, sf_dir)).select("gen", "prog", F.concat_ws(",", F.transform("members", lambda x: x.cast("string"))).alias("members"), "score", "holes")
 
 
 def grow_one_step(spark, sf_dir):
-    nodes, edges = forest(spark, sf_dir)
-    named, cfg = labelled(nodes, edges), Config()
-    corpus = hoods(named, edges).groupBy("phi").agg(F.count("*").alias("n"))
-    return grow(seeds(named, cfg), named, corpus, cfg).select("prog", F.concat_ws(",", F.transform("members", lambda x: x.cast("string"))).alias("members"), "score", "holes")
+    cfg = Config()
+    return grow(*begin(spark, forest_rows(spark, sf_dir), cfg), cfg).select("prog", F.concat_ws(",", F.transform("members", lambda x: x.cast("string"))).alias("members"), "score", "holes")
 
 
 def encode_neighbourhoods(spark, sf_dir):
     """The three token families of its SQL; the search counts all five."""
-    nodes, edges = forest(spark, sf_dir)
-    return hoods(labelled(nodes, edges), edges, whole=False).select("prog", "anchor", F.concat_ws(",", F.transform("phi", lambda x: x.cast("string"))).alias("phi"))
+    return programs.phi_texts(forest_rows(spark, sf_dir), False, TOP, RADIUS, NEAREST)
 
 
 _PHI = f"""WITH {FOREST}, {_DEG}, {_HOP}, tok AS (

@@ -7,7 +7,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from coppice.operators import tiles, triangles, vectors
+from coppice.operators import graphs, programs, tiles, trees, triangles, vectors
+from coppice.plans import search
 
 
 def _graph(n, m, seed):
@@ -83,3 +84,55 @@ def test_rounding_is_that_of_sql(spark):
     x = np.concatenate([r.normal(size=2000) * 10.0 ** r.integers(-8, 12, 2000), r.integers(-(10**7), 10**7, 2000) / 1e7 * 5, [0.0, -0.0, -1e-9, 1e300, np.inf, -np.inf, np.nan, 0.0000005, 1.0000005]])
     want = [row.y for row in spark.createDataFrame([(k, float(v)) for k, v in enumerate(x)], "k long, x double").selectExpr("k", "round(x, 6) AS y").orderBy("k").collect()]
     assert list(map(repr, tiles.rounded(x).tolist())) == list(map(repr, want))
+
+
+def _forest(spark):
+    """Programs with cycles, double edges, several parents, labels of none and nulls."""
+    r = random.Random(11)
+    edges = [(p, r.randrange(25), r.randrange(25)) for p in range(6) for _ in range(40)]
+    edges += [(7, 0, k) for k in range(1, 30)] + [(None, 1, 2), (8, 3, None), (8, None, 3), (8, 3, 4), (9, 1, 1)]
+    nodes = [(p, k, r.choice("xy"), r.choice(["a", "b", None])) for p in range(10) for k in range(30)]
+    return spark.createDataFrame(nodes, "prog long, node long, type string, span string"), spark.createDataFrame(edges, "prog long, src long, dst long")
+
+
+def test_programs_in_one_pass(spark):
+    """As by joins; no join and one exchange by program are left."""
+    nodes, edges = _forest(spark)
+    same = lambda a, b: sorted(map(repr, map(tuple, a.collect()))) == sorted(map(repr, map(tuple, b.select(*a.columns).collect())))
+    near = trees.neighbourhoods(edges, trees.top_degree(edges)).cache()
+    sizes = trees.TOP, trees.RADIUS, trees.NEAREST
+    assert same(programs.members(edges, *sizes), near) and "Join" not in programs.members(edges, *sizes)._jdf.queryExecution().optimizedPlan().toString()
+    inner = trees.induced(edges, near)
+    assert same(programs.inner_edges(edges, *sizes), inner)
+    free = near.join(inner.select("prog", "anchor", F.col("dst").alias("node")), ["prog", "anchor", "node"], "left_anti").where("node is not null")
+    assert same(programs.roots(edges, *sizes), free.groupBy("prog", "anchor").agg(F.min("node").alias("root")))
+    plain = edges.dropna()
+    assert same(programs.shapes(plain, *sizes), graphs.wl_of_sets(plain, trees.neighbourhoods(plain, trees.top_degree(plain))).groupBy("size", "hash").agg(F.count("*").alias("members"), F.min("prog").alias("first")))
+    text = F.md5(F.array_join(F.array_sort(F.collect_list("hop")), ","))
+    assert same(programs.outlines(edges, *sizes).where("prog is not null"), near.where("prog is not null").groupBy("prog", "anchor").agg(F.count("*").alias("size"), text.alias("hash"), F.count_if(F.col("hop") == 1).alias("score"), F.count_if(F.col("hop") == 2).alias("holes")))
+    for whole in (False, True):
+        sets = trees.neighbourhoods(plain, trees.top_degree(plain)).groupBy("prog", "anchor").agg(F.collect_list("node").alias("all"))
+        want = search.encode(sets.select("prog", "anchor", "all", F.explode("all").alias("node")), search.labelled(nodes, plain), ["prog", "anchor"], whole)
+        assert same(programs.phi_texts(programs.rows_of(nodes, plain), whole, *sizes), want.select("prog", "anchor", F.array_join(F.transform("phi", lambda x: x.cast("string")), ",").alias("phi")))
+    counts = programs.phi_counts(programs.rows_of(nodes, plain), *sizes)
+    assert same(counts, want.groupBy("phi").agg(F.count("*").alias("n")))
+
+
+def test_chunks_hold_whole_programs(monkeypatch):
+    monkeypatch.setattr(programs, "CHUNK", 10)
+    prog = [None] * 3 + [1] * 25 + [2] * 4 + [3] * 4 + [4] * 12
+    schema = pa.schema([("prog", pa.int64()), ("span", pa.string())])
+    got = list(programs._chunks(pa.RecordBatch.from_pylist([{"prog": p, "span": str(p)} for p in prog[k : k + 3]], schema) for k in range(0, len(prog), 3)))
+    assert [p for c in got for p in c[0].tolist()] == [programs.NULL if p is None else p for p in prog]
+    assert all(a[0][-1] != b[0][0] for a, b in zip(got, got[1:], strict=False)) and len(got) > 2 and got[0][1][0] == "None"
+
+
+def test_search_looks_at_its_own_programs(spark):
+    """Nodes of programs without a beam aren't kept for the steps."""
+    nodes, edges = _forest(spark)
+    beams, named, corpus = search.begin(spark, programs.rows_of(nodes, edges), search.Config(seed="a", max_init_beams=2))
+    assert {r.prog for r in beams.collect()} == {r.prog for r in named.select("prog").distinct().collect()} == {0, 1}
+    assert corpus.agg(F.sum("n")).first()[0] > 50
+    kinds = spark.createDataFrame([([0] * 64,), ([1] * 64,)], "phi array<int>")
+    table = spark.createDataFrame([([1] * 63 + [0], 3), ([2] * 64, 5)], "phi array<int>, n long")
+    assert {r.phi[0]: r.score for r in search.scored(kinds, table).collect()} == {0: 8, 1: 5}
