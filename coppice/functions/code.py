@@ -11,6 +11,8 @@ import tokenize
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .sast import hopeless
+
 #: A completion ends before the first of these.
 STOPS = ["\nclass", "\ndef", "\n#", "\nif", "\nprint"]
 #: Fixed value: library names of import lines.
@@ -135,6 +137,8 @@ def encoded(value: Column, kinds: list[str]) -> Column:
 
 
 def parsed(code: str | None) -> ast.Module | None:
+    if hopeless(code or ""):
+        return None
     try:
         return ast.parse(code or "")
     except (SyntaxError, ValueError, RecursionError, MemoryError):
@@ -175,7 +179,7 @@ def aliases(code: str | None) -> dict[str, str]:
 
 def valid_case(text: str | None, asserting: bool = False) -> bool:
     """Whether a test case compiles within a try block; asserting: and holds an assertion."""
-    if not (text or "").strip() or asserting and "assert " not in text:
+    if not (text or "").strip() or asserting and "assert " not in text or hopeless(text):
         return False
     try:
         compile("try:\n" + textwrap.indent(text, "    ", lambda line: True) + "\nexcept:\n    pass", "case", "exec")
@@ -267,9 +271,12 @@ def highlighted(code: str | None) -> str:
     return "<pre>" + html.escape(code or "", quote=False).replace("&lt;mark&gt;", "<mark>").replace("&lt;/mark&gt;", "</mark>") + "</pre>"
 
 
+_NO_CODE = frozenset((tokenize.NEWLINE, tokenize.NL, tokenize.INDENT, tokenize.DEDENT, tokenize.ENDMARKER, tokenize.COMMENT))
+
+
 def code_tokens(code: str | None) -> int | None:
     """Tokens of Python's own tokenizer; None where it fails."""
     try:
-        return sum(t.type not in (tokenize.NEWLINE, tokenize.NL, tokenize.INDENT, tokenize.DEDENT, tokenize.ENDMARKER, tokenize.COMMENT) for t in tokenize.generate_tokens(io.StringIO(code or "").readline))
+        return sum([t[0] not in _NO_CODE for t in tokenize.generate_tokens(io.StringIO(code or "").readline)])
     except (tokenize.TokenError, SyntaxError, IndentationError):
         return None

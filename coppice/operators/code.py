@@ -111,7 +111,9 @@ def code_checks(spark, sf_dir):
             rows = []
             for doc, text in zip(b["doc_id"], b["text"], strict=True):
                 for k, line in enumerate((text or "").split("\n")):
-                    rows.append((doc, k, code.parsed(line) is not None, code.normalised(line), code.dummy_function(line), code.dropped(line), code.masked(line), code.valid_case(line), code.code_tokens(line)))
+                    parses = code.parsed(line) is not None
+                    forms = (code.normalised(line), code.dummy_function(line), code.dropped(line), code.masked(line)) if parses else (None,) * 4
+                    rows.append((doc, k, parses, *forms, code.valid_case(line), code.code_tokens(line)))
             yield pd.DataFrame(rows, columns=["doc_id", "k", "parses", "normal", "dummy", "dropped", "masked", "valid", "n_tokens"])
 
     return _texts(spark, sf_dir).mapInPandas(run, "doc_id long, k int, parses boolean, normal string, dummy string, dropped string, masked string, valid boolean, n_tokens int")

@@ -135,11 +135,19 @@ def sast_nodes(spark, sf_dir):
     return sast_table(programs(spark, sf_dir)).withColumn("span", F.translate("span", sast.HOLE, "#"))
 
 
-def sast_roundtrip(spark, sf_dir):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"prog": pdf["prog"].iloc[:1], "code": [sast.code_of(list(pdf.sort_values("node")[["node", "parent", "type", "span", "relpos"]].itertuples(index=False, name=None)))]})
+def round_trips(programs: DataFrame) -> DataFrame:
+    """prog, code put together from the rows of each program's tree, in the task that made them: a program's rows are never dealt out."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            trees = ((p, sast.rows_of(code or "")) for p, code in zip(b["prog"], b["code"], strict=True))
+            yield pd.DataFrame([(p, sast.code_of(rows)) for p, rows in trees if rows], columns=["prog", "code"])
 
-    return sast_table(programs(spark, sf_dir)).groupBy("prog").applyInPandas(run, "prog long, code string")
+    return programs.select("prog", "code").mapInPandas(run, "prog long, code string")
+
+
+def sast_roundtrip(spark, sf_dir):
+    return round_trips(programs(spark, sf_dir))
 
 
 _I = f"WITH {FOREST}, {_DEG}, {_HOP}, i AS (SELECT prog, anchor, count(*) AS size, md5(string_agg(hop, ',' ORDER BY hop)) AS hash, count(*) FILTER (hop = 1) AS score, count(*) FILTER (hop = 2) AS holes FROM hood GROUP BY ALL), c AS (SELECT *, CAST(row_number() OVER (PARTITION BY size ORDER BY members DESC, hash) AS INTEGER) AS cluster FROM (SELECT size, hash, count(*) AS members, CAST(sum(score) AS BIGINT) AS score FROM i GROUP BY ALL))"

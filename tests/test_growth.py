@@ -7,7 +7,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from coppice.operators import graphs, programs, tiles, trees, triangles, vectors
+from coppice.functions import code, sast
+from coppice.operators import graphs, programs, reports, tiles, trees, triangles, vectors
 from coppice.plans import search
 
 
@@ -136,3 +137,21 @@ def test_search_looks_at_its_own_programs(spark):
     kinds = spark.createDataFrame([([0] * 64,), ([1] * 64,)], "phi array<int>")
     table = spark.createDataFrame([([1] * 63 + [0], 3), ([2] * 64, 5)], "phi array<int>, n long")
     assert {r.phi[0]: r.score for r in search.scored(kinds, table).collect()} == {0: 8, 1: 5}
+
+
+def test_prose_is_not_parsed(spark, monkeypatch):
+    """Two names side by side are seen without the parser, and never in a program."""
+    for line in ("Orre lire ware", "x = 1 and prose here # if", "é à b", "a\tb"):
+        assert sast.hopeless(line) and code.parsed(line) is None
+    for line in ("match x:", "type X = int", "not a", "1if x else y", "x # two words", "f('two words')", "if x:\n    y\nz", "case _ if y:", "x \\\n y", "lambda x: x", "async def f(): await g", ""):
+        assert not sast.hopeless(line)
+    monkeypatch.setattr(sast.ast, "parse", None)
+    assert code.masked("some words") is None and not code.valid_case("some words") and sast.rows_of("some words") == []
+
+
+def test_round_trips_are_not_dealt_out(spark):
+    lines = ["np.mean(a) + 1", "two words", "", "x = [1,\n 2]  # note"]
+    df = spark.createDataFrame(list(enumerate(lines)), "prog long, code string")
+    got = reports.round_trips(df)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {r.prog: r.code for r in got.collect()} == {k: sast.code_of(sast.rows_of(x)) for k, x in enumerate(lines) if sast.rows_of(x)}
