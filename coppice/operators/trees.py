@@ -75,19 +75,25 @@ def radial_frontier(spark, sf_dir):
 
 
 def roots_of(spark: SparkSession, edges: DataFrame) -> DataFrame:
-    """id, root (least id reachable), by contraction: labels are pointed at the least neighbour and shortened until nothing moves."""
-    e = written(spark, edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct())
-    label = written(spark, e.select(F.col("u").alias("id")).unionByName(e.select(F.col("v").alias("id"))).distinct().withColumn("root", F.col("id")))
-    while True:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        near = both.join(label.select(F.col("id").alias("v"), "root"), "v").groupBy(F.col("u").alias("id")).agg(F.min("root").alias("near"))
-        hooked = label.join(near, "id").select("id", "root", F.least("root", "near").alias("to"))
-        least = hooked.groupBy("root").agg(F.min("to").alias("to"))  # a whole group moves with its best member
-        jump = least.select(F.col("root").alias("to"), F.col("to").alias("next"))
-        moved = written(spark, hooked.select("id", "root").join(least, "root").join(jump, "to", "left").select("id", "root", F.least("to", F.coalesce("next", "to")).alias("new")))
-        if moved.where("new <> root").isEmpty():
-            return label
-        label = moved.select("id", F.col("new").alias("root"))
+    """id, root (least id reachable), by contraction: each node moves to the least of its neighbours' least, edges follow, and those within one node go.
+
+    The least id of a component never moves, and each round's edges are those between what the round before left; the moves are put together from the last, the smallest, back.
+    """
+    e = edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v")
+    moves = []
+    while moves == [] or not e.isEmpty():
+        both = e.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("x")).select(F.col("x.u").alias("id"), F.col("x.v").alias("v"))
+        near = written(spark, both.groupBy("id").agg(F.least("id", F.min("v")).alias("to")))
+        # A node's least neighbour has moved too.
+        jump = written(spark, near.join(near.select(F.col("id").alias("to"), F.col("to").alias("next")), "to").select("id", F.col("next").alias("to")))
+        moves.append(jump)
+        for c in ("u", "v"):
+            e = e.join(jump.select(F.col("id").alias(c), F.col("to").alias(f"{c}_to")), c).drop(c).withColumnRenamed(f"{c}_to", c)
+        e = written(spark, e.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct())
+    root = moves.pop().withColumnRenamed("to", "root")
+    while moves:
+        root = moves.pop().join(root.select(F.col("id").alias("to"), "root"), "to", "left").select("id", F.coalesce("root", "to").alias("root"))
+    return root
 
 
 def components(lines: DataFrame) -> DataFrame:

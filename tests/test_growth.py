@@ -155,3 +155,20 @@ def test_round_trips_are_not_dealt_out(spark):
     got = reports.round_trips(df)
     assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
     assert {r.prog: r.code for r in got.collect()} == {k: sast.code_of(sast.rows_of(x)) for k, x in enumerate(lines) if sast.rows_of(x)}
+
+
+def test_components_shrink(spark, monkeypatch):
+    """Each round's edges are fewer: 400 parts in random orders take few rounds, and all rounds write little more than the first."""
+    r = random.Random(5)
+    pairs = [(2 * o, 2 * r.randrange(400) + 1) for o in range(700) for _ in range(3)] + [(9001, 9001), (10000, 10002), (10004, 10002)]
+    sizes, real = [], trees.written
+    monkeypatch.setattr(trees, "written", lambda spark, df: (lambda out: (sizes.append((out.columns, out.count())), out)[1])(real(spark, df)))
+    got = {x.id: x.root for x in trees.roots_of(spark, spark.createDataFrame(pairs, "u long, v long")).collect()}
+    root = {x: x for p in pairs if p[0] != p[1] for x in p}
+    for _ in range(20):
+        for u, v in pairs:
+            if u != v:
+                root[u] = root[v] = min(root[u], root[v])
+    assert got == root
+    left = [n for c, n in sizes if c == ["u", "v"]]
+    assert left[-1] == 0 and len(left) <= 4 and left[0] < 0.7 * len(pairs)
