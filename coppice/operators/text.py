@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import code
-from ..sources.tables import table
+from ..sources.tables import table, written
 from .code import _NOCOM, _TRUNC, _unique
 
 KEYWORDS = ("the", "and")
@@ -68,10 +68,19 @@ def tfidf(tf: DataFrame, doc: str = "doc_id", term: str = "term") -> DataFrame:
     return raw.join(norm, doc).withColumn("weight", F.col("raw") / F.col("norm"))
 
 
+def term_weights(d: DataFrame) -> DataFrame:
+    """term, weight: tfidf's weights summed by term. Texts are cut into words once, where their documents are; postings are dealt out twice, by term and by document."""
+    p = written(d.sparkSession, postings(d.select("doc_id", "text").repartition("doc_id")))
+    df = p.groupBy("term").agg(F.count("*").alias("df"))
+    n = p.agg(F.countDistinct("doc_id").alias("n_docs"))
+    raw = p.join(df, "term").join(F.broadcast(n), F.lit(True)).select("doc_id", "term", (F.col("tf") * (F.ln((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1)).alias("raw"))
+    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("doc_id")))
+    return raw.select("term", (F.col("raw") / norm).alias("weight")).groupBy("term").agg(F.round(F.sum("weight"), 6).alias("weight"))
+
+
 def tfidf_term_rank(spark, sf_dir):
     """A report of the 100 terms of most weight."""
-    w = tfidf(postings(docs(spark, sf_dir))).groupBy("term").agg(F.round(F.sum("weight"), 6).alias("weight"))
-    return w.orderBy(F.desc("weight"), "term").limit(100)
+    return term_weights(docs(spark, sf_dir)).orderBy(F.desc("weight"), "term").limit(100)
 
 
 def tfidf_doc_vectors_top100(spark, sf_dir):

@@ -5,10 +5,11 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from coppice.functions import code, sast
-from coppice.operators import graphs, programs, reports, tiles, trees, triangles, vectors
+from coppice.operators import graphs, programs, reports, text, tiles, trees, triangles, vectors
 from coppice.plans import search
 
 
@@ -172,3 +173,23 @@ def test_components_shrink(spark, monkeypatch):
     assert got == root
     left = [n for c, n in sizes if c == ["u", "v"]]
     assert left[-1] == 0 and len(left) <= 4 and left[0] < 0.7 * len(pairs)
+
+
+def test_texts_are_cut_into_words_once(spark):
+    """Weights as by tfidf, also over rows of one document; the words are in a written table before anything is joined."""
+    d = spark.createDataFrame([(k % 40, " ".join(random.Random(k).choices("abcdefgh", k=k))) for k in range(50)] + [(99, "")], "doc_id long, text string")
+    got = text.term_weights(d)
+    assert "split(" not in got._jdf.queryExecution().optimizedPlan().toString()
+    want = text.tfidf(text.postings(d)).groupBy("term").agg(F.round(F.sum("weight"), 6).alias("weight"))
+    assert {r.term: r.weight for r in got.collect()} == {r.term: pytest.approx(r.weight, abs=2e-6) for r in want.collect()}
+
+
+def test_transport_in_rounds():
+    """A round serves all columns whose paths have room: far fewer searches than units; sizes without a common divisor."""
+    r = np.random.default_rng(3)
+    x, y = r.random((90, 8)), r.random((83, 8))
+    cost = ((x[:, None] - y[None]) ** 2).sum(axis=2)
+    calls = []
+    got = vectors.transport(cost.view(type("Counted", (np.ndarray,), {"__add__": lambda a, b: (calls.append(1), np.ndarray.__add__(a, b))[1]})))
+    assert got == pytest.approx(1.0 * vectors.transport(cost.T.copy()), abs=1e-12) and got <= cost.mean()
+    assert len(calls) < 83 * 90
